@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, simhash
+from . import embeddings, langid, licenses, mixing, packing, pii, repetition, simhash, tokencount
 from .common import held_out, table
 
 
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, count_col="n_replaced")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.learn(docs)
@@ -27,15 +32,41 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.judge(table(spark, sf_dir, "documents")).drop("longest_repeat", "n_repeats")
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packing.pack(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_pseudonyms": op1_pii_pseudonyms,
     "op2_language_id": op2_language_id,
     "op3_simhash_components": op3_simhash_components,
     "op4_source_mixing": op4_source_mixing,
+    "op6_license_scan": op6_license_scan,
+    "op7_repetition": op7_repetition,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_packing": op9_packing,
+    "op10_token_counts": op10_token_counts,
+}
+ORACLES: dict[str, str] = {
+    "op4_source_mixing": mixing.ORACLE,
+    "op6_license_scan": licenses.ORACLE,
+    "op7_repetition": repetition.ORACLE,
+    "op8_embedding_dedup": embeddings.ORACLE,
 }
-ORACLES: dict[str, str] = {"op4_source_mixing": mixing.ORACLE}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialise, parallelism, release
-from .graph import connected_components
+from .graph import connected_components, merge_labels
 
 #: Bits of a fingerprint and of each of the blocks of the pigeonhole argument.
 BITS, BLOCK = 64, 16
@@ -58,22 +58,6 @@ def as_hex(fingerprint: Column) -> Column:
     return F.lpad(F.lower(F.hex(fingerprint)), 16, "0")
 
 
-def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Join the classes of i and j; label points to the smallest member of a class."""
-    while True:
-        a, b = label[i], label[j]
-        apart = a != b
-        if not apart.any():
-            return
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            up = label[label]
-            if np.array_equal(up, label):
-                break
-            label[:] = up
-
-
 def trie_join(keys: np.ndarray, pairs: np.ndarray, budget: int, direct: int = 256) -> np.ndarray:
     """Classes of the keys under links of *budget* differing bits or fewer.
 
@@ -108,7 +92,7 @@ def trie_join(keys: np.ndarray, pairs: np.ndarray, budget: int, direct: int = 25
                 near = (i != j) & (label[i] != label[j])
                 i, j = i[near], j[near]
                 near = np.bitwise_count(keys[i] ^ keys[j]) <= budget
-                _merge(label, i[near], j[near])
+                merge_labels(label, i[near], j[near])
         now = now[~few]
         if not len(now):
             continue
