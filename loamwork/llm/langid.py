@@ -97,7 +97,7 @@ class Scorer:
         return self.by[ranked[0]][0], min(1.0, max(0.0, (second - first) / max(1, second)))
 
 
-def identify(model: LanguageModel, text: Column, min_margin: float = 0.02) -> Column:
+def identify(model: LanguageModel, text: Column, min_margin: float = 0.01) -> Column:
     """struct(lang_pred, score, rejected) of a text column.
 
     The whole text is compressed block by block.  ``score`` is the share of
@@ -119,7 +119,7 @@ def identify(model: LanguageModel, text: Column, min_margin: float = 0.02) -> Co
     return udf(text)
 
 
-def predict(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.02) -> DataFrame:
+def predict(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.01) -> DataFrame:
     """One row per input row: id, lang_pred, score, rejected.  See identify()."""
     found = docs.select(F.col(id_col), identify(model, F.col(text_col), min_margin).alias("__found"))
     return found.select(id_col, "__found.*")

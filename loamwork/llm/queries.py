@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, licenses, mixing, packing, pii, repetition, simhash, tokencount
+from . import embeddings, langid, licenses, mixing, packing, pii, repetition, simhash, tokencount, toxicity
 from .common import held_out, table
 
 
@@ -32,6 +32,13 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.predict(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -58,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_simhash_components": op3_simhash_components,
     "op4_source_mixing": op4_source_mixing,
+    "op5_toxicity": op5_toxicity,
     "op6_license_scan": op6_license_scan,
     "op7_repetition": op7_repetition,
     "op8_embedding_dedup": op8_embedding_dedup,
