@@ -154,13 +154,22 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
 ORACLE = r"""
 WITH texts AS (
   SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
-), places AS (
-  SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM texts, (VALUES (3), (5), (65)) AS widths(n)
+), words AS (
+  SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM texts
+), grams AS (
+  SELECT doc_id, i, hash(x, lead(x) OVER o, lead(x, 2) OVER o) AS g3, hash(x, lead(x) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS g5, count(*) OVER (PARTITION BY doc_id) AS n
+  FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)
 ), windows AS (
-  SELECT doc_id, n, i, count(*) OVER (PARTITION BY doc_id, n, list_slice(w, i, i + n - 1)) AS copies FROM places
+  SELECT doc_id, 3 AS n, i, count(*) OVER (PARTITION BY doc_id, g3) AS copies FROM grams WHERE i <= n - 2
+  UNION ALL SELECT doc_id, 5, i, count(*) OVER (PARTITION BY doc_id, g5) FROM grams WHERE i <= n - 4
 ), inside AS (
   SELECT doc_id, n, count(DISTINCT i + k) AS words
   FROM (SELECT doc_id, n, i, unnest(generate_series(0, n - 1)) AS k FROM windows WHERE copies > 1) GROUP BY ALL
+), far AS (
+  SELECT doc_id, w, unnest(generate_series(1, len(w) - 64)) AS i FROM texts
+  WHERE doc_id IN (SELECT doc_id FROM inside WHERE n = 5 AND words >= 65)
+), long AS (
+  SELECT DISTINCT doc_id FROM (SELECT doc_id, hash(list_slice(w, i, i + 64)) AS h FROM far) GROUP BY doc_id, h HAVING count(*) > 1
 ), lines AS (
   SELECT doc_id, l, count(*) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM texts)
   WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY ALL
@@ -170,7 +179,7 @@ WITH texts AS (
     coalesce((SELECT sum(n - 1) FROM lines WHERE lines.doc_id = texts.doc_id), 0)::BIGINT AS n_dup_lines,
     coalesce((SELECT words FROM inside WHERE inside.doc_id = texts.doc_id AND n = 3), 0)::BIGINT AS n_repeat_words,
     coalesce((SELECT words FROM inside WHERE inside.doc_id = texts.doc_id AND n = 5), 0) / greatest(len(w), 1) AS covered,
-    EXISTS (SELECT 1 FROM inside WHERE inside.doc_id = texts.doc_id AND n = 65) AS long_repeat
+    EXISTS (SELECT 1 FROM long WHERE long.doc_id = texts.doc_id) AS long_repeat
   FROM texts
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered,
