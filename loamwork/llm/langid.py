@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,14 +107,14 @@ def identify(model: LanguageModel, text: Column, min_margin: float = 0.01) -> Co
     ``und``, score 0, rejected; a model of one language gives score 1.
     """
 
-    @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]))
-    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]))
+    def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(model)
-        for texts in batches:
-            found = [scorer.best(t) for t in texts]
-            out = pd.DataFrame(found, columns=["lang_pred", "score"])
-            out["rejected"] = (out["lang_pred"] == UNKNOWN) | (out["score"] < min_margin)
-            yield out
+        for texts in batches:  # text by text, so that a batch is held once, in Arrow
+            found = [scorer.best(t.as_py()) for t in texts]
+            names, scores = [f[0] for f in found], [f[1] for f in found]
+            rejected = [n == UNKNOWN or s < min_margin for n, s in found]
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=["lang_pred", "score", "rejected"])
 
     return udf(text)
 

@@ -46,9 +46,9 @@ def fingerprint(text: Column, width: int = 3) -> Column:
     without words has the fingerprint 0.
     """
 
-    @F.pandas_udf(T.LongType())
-    def udf(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint_of(x, width) for x in texts], dtype=np.uint64).view(np.int64))
+    @F.arrow_udf(T.LongType())
+    def udf(texts: pa.Array) -> pa.Array:  # text by text, so that a batch is held once, in Arrow
+        return pa.array(np.array([fingerprint_of(x.as_py(), width) for x in texts], dtype=np.uint64).view(np.int64))
 
     return udf(text)
 
