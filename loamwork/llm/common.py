@@ -51,6 +51,34 @@ def release(*frames: DataFrame | None) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches() -> None:
+    """Have Spark hand texts to Python in batches of few MB, however long they are.
+
+    The session's settings are only lowered, never raised.  Each batch is held
+    by the JVM and by Python, in every running task.
+    """
+    spark = SparkSession.active()
+    for key, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 4 << 20)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(str(spark.conf.get(key)).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
+def give_back() -> None:
+    """Return a task's freed memory to the system, for Python workers live on and are used again."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Tasks that a shuffle of this session has."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import trainable
+from .common import give_back, small_batches, trainable
 
 UNKNOWN = "und"
 
@@ -107,6 +107,8 @@ def identify(model: LanguageModel, text: Column, min_margin: float = 0.01) -> Co
     ``und``, score 0, rejected; a model of one language gives score 1.
     """
 
+    small_batches()
+
     @F.arrow_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]))
     def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(model)
@@ -115,6 +117,8 @@ def identify(model: LanguageModel, text: Column, min_margin: float = 0.01) -> Co
             names, scores = [f[0] for f in found], [f[1] for f in found]
             rejected = [n == UNKNOWN or s < min_margin for n, s in found]
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=["lang_pred", "score", "rejected"])
+        del scorer
+        give_back()
 
     return udf(text)
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back, small_batches
+
 #: Beyond so many open windows a packer closes them by cutting, which bounds its memory.
 OPEN_WINDOWS = 4096
 
@@ -26,9 +28,9 @@ class ByteBpe:
 
     def __init__(self, json_name: str, ranks_name: str | None, pattern: str | None = None):
         import public_tokenizers
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(public_tokenizers.path(json_name))
+        self.path = public_tokenizers.path(json_name)
+        self.slow = None
         self.fast = None
         if ranks_name:
             import base64
@@ -39,9 +41,17 @@ class ByteBpe:
                 ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def exact(self, text: str) -> list[int]:
+        """Ids by the tokenizers library, loaded for the first text that needs it."""
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+        return self.slow.encode(text, add_special_tokens=False).ids
+
     def encode(self, text: str) -> list[int]:
         if self.fast is None or self.UNUSUAL.search(text):
-            return self.exact.encode(text, add_special_tokens=False).ids
+            return self.exact(text)
         return self.fast.encode_ordinary(text)
 
 
@@ -150,6 +160,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
     and repeated ids are packed like others; an empty table gives an empty
     table; other columns are ignored.
     """
+    small_batches()
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -208,5 +219,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
             for window in [*full, *powers(last)]:
                 emit(window)
             yield flushed()
+        del encoder, packer
+        give_back()
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)

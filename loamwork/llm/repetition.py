@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: Words whose suffixes are sorted at once; a longer text is sorted by itself.
 CHUNK_WORDS = 60_000
 
@@ -123,6 +125,8 @@ MEASURES = T.StructType(
 def measures(text: Column, least: int = 5, base_width: int = 3) -> Column:
     """A struct of MEASURES for a text column."""
 
+    small_batches()
+
     @F.pandas_udf(MEASURES)
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, parallelism, release
+from .common import give_back, materialise, parallelism, release, small_batches
 from .graph import connected_components, merge_labels
 
 #: Bits of a fingerprint and of each of the blocks of the pigeonhole argument.
@@ -46,9 +46,13 @@ def fingerprint(text: Column, width: int = 3) -> Column:
     without words has the fingerprint 0.
     """
 
+    small_batches()
+
     @F.arrow_udf(T.LongType())
-    def udf(texts: pa.Array) -> pa.Array:  # text by text, so that a batch is held once, in Arrow
-        return pa.array(np.array([fingerprint_of(x.as_py(), width) for x in texts], dtype=np.uint64).view(np.int64))
+    def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:  # text by text, so that a batch is held once, in Arrow
+            yield pa.array(np.array([fingerprint_of(x.as_py(), width) for x in texts], dtype=np.uint64).view(np.int64))
+        give_back()
 
     return udf(text)
 

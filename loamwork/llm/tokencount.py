@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: A trie of more nodes is dropped and begun anew, which bounds a task's memory.
 MAX_NODES = 1_500_000
 
@@ -99,6 +101,8 @@ def pre_tokens(text: str) -> list[str]:
 def count_tokens(text: Column, vocabulary: str = "piece_bpe_32k.model", max_nodes: int = MAX_NODES) -> Column:
     """struct(n_pre_tokens, n_tokens) of a text column."""
 
+    small_batches()
+
     @F.pandas_udf(T.StructType([T.StructField("n_pre_tokens", T.LongType()), T.StructField("n_tokens", T.LongType())]))
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         trie = PreTokenTrie(Vocabulary(vocabulary), max_nodes)

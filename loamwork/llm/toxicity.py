@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, trainable
+from .common import materialise, small_batches, trainable
 
 #: Terms that stand for each other, by kind; counterfactual texts swap them within a kind.
 IDENTITY_TERMS = (
@@ -205,6 +205,8 @@ class Scorer:
 def toxicity(text: Column, model: ToxicityModel) -> Column:
     """Score of a text column, 0 to 1; a null or empty text gets the score of no words."""
 
+    small_batches()
+
     @F.pandas_udf(T.DoubleType())
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(model)
