@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.greedy import components, cut
 from ..functions.sets import jaccard, let, word_ngrams
 from ..functions.text import BLANK, squash
 
@@ -119,7 +120,8 @@ def reply_order(mail: DataFrame, max_depth: int = 50) -> DataFrame:
     kids = rows.where("known").select("thread", F.col("parent").alias("p"), F.col("id").alias("kid"), "key")
     for depth in range(1, max_depth + 1):
         step = level.alias("l").join(kids.alias("k"), (F.col("l.thread") == F.col("k.thread")) & (F.col("l.id") == F.col("k.p")))
-        level = step.select("l.thread", F.col("k.kid").alias("id"), F.concat("l.path", F.lit("/"), "k.key").alias("path"), F.lit(depth).alias("depth")).persist()
+        level = step.select("l.thread", F.col("k.kid").alias("id"), F.concat("l.path", F.lit("/"), "k.key").alias("path"), F.lit(depth).alias("depth"))
+        level = cut(level)
         if level.isEmpty():
             break
         done = done.union(level)
@@ -127,6 +129,39 @@ def reply_order(mail: DataFrame, max_depth: int = 50) -> DataFrame:
     return done.union(rest).withColumn("place", F.row_number().over(Window.partitionBy("thread").orderBy("path")))
 
 
+def ancestors(mail: DataFrame, max_depth: int = 50) -> DataFrame:
+    """(thread, id, ancestor, depth) along the reply chain up to its root; a cycle ends where it closes (EML-18)."""
+    links = mail.where("parent is not null").select("thread", F.col("id").alias("child"), F.col("parent").alias("up"))
+    known = mail.select("thread", F.col("id").alias("up"))
+    links = links.join(known, ["thread", "up"], "left_semi")
+    level = cut(links.select("thread", F.col("child").alias("id"), F.col("up").alias("ancestor"), F.lit(1).alias("depth")).where("id <> ancestor"))
+    done = level
+    for depth in range(2, max_depth + 1):
+        step = level.alias("l").join(links.alias("k"), (F.col("l.thread") == F.col("k.thread")) & (F.col("l.ancestor") == F.col("k.child")))
+        step = step.select("l.thread", "l.id", F.col("k.up").alias("ancestor"), F.lit(depth).alias("depth")).where("id <> ancestor")
+        level = cut(step.join(done, ["thread", "id", "ancestor"], "left_anti"))
+        if level.isEmpty():
+            break
+        done = done.union(level)
+    return done
+
+
+def mergeable(overall: Column, body: Column, people: Column, limit: float = 0.9) -> Column:
+    """All three similarities lie strictly above the limit (EML-13)."""
+    return (overall > limit) & (body > limit) & (people > limit)
+
+
+def collapse(threads: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of each component of duplicate threads the longest stays, then that with most mails, then the smallest id (EML-14).
+
+    threads: id, n_chars, n_mails; a thread in no pair stays.  The best is a
+    maximum per component, so a component of any size is only aggregated.
+    """
+    rows = threads.join(components(pairs), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    best = rows.groupBy("root").agg(F.max(F.struct("n_chars", "n_mails", (-F.col("id")).alias("neg"))).alias("s"), F.count("*").alias("n"))
+    return rows.join(best, "root").select("id", "root", (F.col("id") == -F.col("s.neg")).alias("kept"))
+
+
 def shingles(text: Column, n: int = 5) -> Column:
     """Word n-grams hashed to 63 bits of sha1; the whole text if it is shorter; none if empty (EML-09)."""
     w = F.array_remove(F.split(F.lower(text), BLANK), "")

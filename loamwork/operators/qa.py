@@ -204,6 +204,24 @@ def accept(rows: DataFrame, quotas: DataFrame) -> DataFrame:
     return ranked.join(F.broadcast(quotas), "type", "left").withColumn("accepted", F.col("place") <= F.coalesce("quota", F.lit(0)))
 
 
+def _keyed(df: DataFrame, side: str) -> DataFrame:
+    rows = df.select(F.col("id").alias(side), word_ngrams(words(F.col("question")), 2).alias("b"))
+    rows = rows.select(side, F.transform(F.array_sort(F.transform("b", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), lambda s: s["x"]).alias(f"set_{side}"))
+    return rows.where(F.size(f"set_{side}") > 0)
+
+
+def _prefix(df: DataFrame, side: str, threshold: float) -> DataFrame:
+    n = F.size(f"set_{side}")
+    return df.select(side, n.alias(f"n_{side}"), F.explode(F.slice(f"set_{side}", F.lit(1), (n - F.ceil(n * threshold) + 1).cast("int"))).alias("g"))
+
+
+def _similar(a: DataFrame, b: DataFrame, threshold: float, only: Column | None = None) -> DataFrame:
+    near = F.least("n_x", "n_y") >= threshold * F.greatest("n_x", "n_y")
+    pairs = _prefix(a, "x", threshold).join(_prefix(b, "y", threshold), "g").where(near if only is None else near & only)
+    pairs = pairs.select("x", "y").distinct().join(a, "x").join(b, "y")
+    return pairs.withColumn("similarity", jaccard(F.col("set_x"), F.col("set_y"))).where(F.col("similarity") >= threshold)
+
+
 def near_questions(new: DataFrame, accepted: DataFrame, threshold: float = 0.7) -> DataFrame:
     """New questions (id, question) whose word bigrams are close to an accepted one's (QAF-24).
 
@@ -211,21 +229,14 @@ def near_questions(new: DataFrame, accepted: DataFrame, threshold: float = 0.7)
     order of their hash, and have sizes within the threshold; questions without
     bigrams match nothing.
     """
+    pairs = _similar(_keyed(new, "x"), _keyed(accepted, "y"), threshold)
+    return pairs.groupBy(F.col("x").alias("id")).agg(F.max("similarity").alias("similarity"))
 
-    def keyed(df: DataFrame, side: str) -> DataFrame:
-        rows = df.select(F.col("id").alias(side), word_ngrams(words(F.col("question")), 2).alias("b"))
-        rows = rows.select(side, F.transform(F.array_sort(F.transform("b", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), lambda s: s["x"]).alias(f"set_{side}"))
-        return rows.where(F.size(f"set_{side}") > 0)
 
-    def prefix(df: DataFrame, side: str) -> DataFrame:
-        n = F.size(f"set_{side}")
-        return df.select(side, n.alias(f"n_{side}"), F.explode(F.slice(f"set_{side}", F.lit(1), (n - F.ceil(n * threshold) + 1).cast("int"))).alias("g"))
-
-    a, b = keyed(new, "x"), keyed(accepted, "y")
-    near = F.least("n_x", "n_y") >= threshold * F.greatest("n_x", "n_y")
-    pairs = prefix(a, "x").join(prefix(b, "y"), "g").where(near).select("x", "y").distinct().join(a, "x").join(b, "y")
-    pairs = pairs.withColumn("similarity", jaccard(F.col("set_x"), F.col("set_y"))).where(F.col("similarity") >= threshold)
-    return pairs.groupBy(F.col("x").alias("id")).agg(F.max("similarity").alias("similarity"))
+def similar_pairs(questions: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """Pairs (a < b) of close questions, for the greedy dedup that keeps the first (QAF-25)."""
+    pairs = _similar(_keyed(questions, "x"), _keyed(questions, "y"), threshold, F.col("x") < F.col("y"))
+    return pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def stratified_split(rows: DataFrame, strata: list[str], ratio: float, seed: int = 42) -> DataFrame:
@@ -248,3 +259,27 @@ def early_stop(batches: DataFrame, span: int = 3, least_rate: float = 0.15, leas
 def batch_size(samples: Column) -> Column:
     """Batch size and parallel batches by sample count, as size/parallel (QAF-35)."""
     return F.when(samples <= 25, "5/5").when(samples <= 50, "10/5").when(samples <= 100, "10/10").when(samples <= 500, "50/10").otherwise("50/20")
+
+
+#: Shares of keyword, natural and expert style by question type.
+STYLE_SHARES = {"default": (0.6, 0.3, 0.1), "lookup": (0.35, 0.45, 0.20), "multi_hop": (0.10, 0.60, 0.30)}
+
+
+def lopsided(refs: DataFrame, high: float = 0.60, low: float = 0.15) -> DataFrame:
+    """Questions one of whose chunks covers the answer's words while another hardly does (QAF-15).  refs: qid, answer, text."""
+    cover = let(F.array_distinct(words(F.col("answer"))), lambda a: F.when(F.size(a) > 0, F.size(F.array_intersect(a, words(F.col("text")))) / F.size(a)).otherwise(0.0))
+    rows = refs.select("qid", cover.alias("c"))
+    return rows.groupBy("qid").agg((F.bool_or(F.col("c") > high) & F.bool_or(F.col("c") < low)).alias("lopsided"))
+
+
+def subsets(refs: DataFrame) -> DataFrame:
+    """Chunk subsets for a judge: the primary alone, and all but one (QAF-16).  refs: qid, pos from 0, id."""
+    lists = refs.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias("ids")).where(F.size("ids") > 1)
+    without = F.transform("ids", lambda x: F.struct(F.concat(F.lit("without_"), x.cast("string")).alias("name"), F.array_remove("ids", x).alias("ids")))
+    alone = F.array(F.struct(F.lit("primary_only").alias("name"), F.slice("ids", 1, 1).alias("ids")))
+    return lists.select("qid", F.explode(F.concat(alone, without)).alias("s")).select("qid", "s.name", F.array_join(F.transform("s.ids", lambda i: i.cast("string")), ",").alias("ids"))
+
+
+def next_hops(reason: Column, hops: Column, most: int = 6) -> Column:
+    """Hop count of a regeneration: one more if the question was too easy (QAF-23)."""
+    return F.when(reason == "too_easy", F.least(hops + 1, F.lit(most))).otherwise(hops)

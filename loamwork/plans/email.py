@@ -142,3 +142,35 @@ def eml_33(spark, sf):
 @query("eml_35_match_text", "SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS text FROM documents")
 def eml_35(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(op.match_text(F.col("text"))).alias("text"))
+
+
+@query("eml_13_merge_guards", "SELECT doc_id, (doc_id % 11) / 10 > 0.9 AND (doc_id % 7) / 6 > 0.9 AND (doc_id % 5) / 4 > 0.9 AS mergeable FROM documents")
+def eml_13(spark, sf):
+    i = F.col("doc_id")
+    return table(spark, sf, "documents").select("doc_id", op.mergeable(i % 11 / 10, i % 7 / 6, i % 5 / 4).alias("mergeable"))
+
+
+COMPONENTS = """pr AS (SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON a.doc_id < b.doc_id AND substr(a.text, 1, 30) = substr(b.text, 1, 30)),
+e AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr), re(a, b) AS (SELECT a, a FROM e UNION SELECT re.a, e.b FROM re JOIN e ON re.b = e.a), ro AS (SELECT a AS id, min(b) AS root FROM re GROUP BY a)"""
+
+
+@query("eml_14_collapse", f"""WITH RECURSIVE {COMPONENTS}, t AS (SELECT doc_id AS id, n_chars, doc_id % 5 AS n_mails, coalesce(root, doc_id) AS root FROM documents LEFT JOIN ro ON doc_id = id)
+SELECT id, root, row_number() OVER (PARTITION BY root ORDER BY n_chars DESC, n_mails DESC, id) = 1 AS kept FROM t""")
+def eml_14(spark, sf):
+    d = table(spark, sf, "documents")
+    heads = d.select(F.col("doc_id").alias("id"), F.substring("text", 1, 30).alias("h"))
+    first = heads.groupBy("h").agg(F.min("id").alias("a"))
+    pairs = heads.join(first, "h").where("a < id").select("a", F.col("id").alias("b"))
+    return op.collapse(d.select(F.col("doc_id").alias("id"), "n_chars", (F.col("doc_id") % 5).alias("n_mails")), pairs)
+
+
+@query("eml_16_dedupe_report", "SELECT CASE WHEN n > 1 THEN 'clustered' ELSE 'single' END AS kind, count(*) AS groups, sum(n)::BIGINT AS threads, sum(n - 1)::BIGINT AS dropped FROM (SELECT count(*) AS n FROM documents GROUP BY substr(text, 1, 30)) GROUP BY 1")
+def eml_16(spark, sf):
+    sizes = table(spark, sf, "documents").groupBy(F.substring("text", 1, 30).alias("h")).agg(F.count("*").alias("n"))
+    return sizes.groupBy(F.when(F.col("n") > 1, "clustered").otherwise("single").alias("kind")).agg(F.count("*").alias("groups"), F.sum("n").alias("threads"), F.sum(F.col("n") - 1).alias("dropped"))
+
+
+@query("eml_18_ancestors", f"""WITH RECURSIVE {MAIL}, l AS (SELECT c.thread, c.id, c.parent FROM ml c JOIN ml p ON c.thread = p.thread AND c.parent = p.id),
+t(thread, id, ancestor, depth) AS (SELECT thread, id, parent, 1 FROM l UNION ALL SELECT t.thread, t.id, l.parent, depth + 1 FROM t JOIN l ON t.thread = l.thread AND t.ancestor = l.id) SELECT thread, id, ancestor, depth::INT AS depth FROM t""")
+def eml_18(spark, sf):
+    return op.ancestors(mail(spark, sf))

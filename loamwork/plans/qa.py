@@ -184,3 +184,29 @@ def qaf_35(spark, sf):
 @query("qaf_44_meta_questions", f"WITH {BASE} SELECT id, {META} AS meta FROM qa")
 def qaf_44(spark, sf):
     return rows(spark, sf).select("id", op.is_meta(F.col("question"), F.col("answer")).alias("meta"))
+
+
+@query("qaf_02_styles", "WITH w(key, weight) AS (VALUES ('keyword', 0.35), ('natural', 0.45), ('expert', 0.20)), q AS (SELECT key, weight::DOUBLE AS weight, 41 * weight::DOUBLE / sum(weight::DOUBLE) OVER () AS quota FROM w), r AS (SELECT key, floor(quota) AS base, row_number() OVER (ORDER BY round(quota - floor(quota), 9) DESC, weight DESC, key DESC) AS place, sum(floor(quota)) OVER () AS given FROM q) SELECT key, (base + CASE WHEN place <= 41 - given THEN 1 ELSE 0 END)::BIGINT AS n FROM r")
+def qaf_02(spark, sf):
+    shares = zip(("keyword", "natural", "expert"), op.STYLE_SHARES["lookup"], strict=True)
+    return op.apportioned(spark.createDataFrame(list(shares), "key string, weight double"), 41)
+
+
+@query("qaf_15_lopsided", r"""WITH r AS (SELECT doc_id // 3 AS qid, list_distinct(regexp_extract_all(lower(first_value(substr(text, 1, 150)) OVER (PARTITION BY doc_id // 3 ORDER BY doc_id)), '[\p{L}\p{N}_]+')) AS a, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+c AS (SELECT qid, CASE WHEN len(a) > 0 THEN len(list_intersect(a, w)) / len(a) ELSE 0.0 END AS c FROM r) SELECT qid, bool_or(c > 0.6) AND bool_or(c < 0.15) AS lopsided FROM c GROUP BY qid""")
+def qaf_15(spark, sf):
+    d = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 3).alias("qid"), "doc_id", "text")
+    first = d.groupBy("qid").agg(F.min_by(F.substring("text", 1, 150), "doc_id").alias("answer"))
+    return op.lopsided(d.join(first, "qid"))
+
+
+@query("qaf_16_subsets", """WITH r AS (SELECT doc_id // 3 AS qid, list(doc_id ORDER BY doc_id) AS ids FROM documents GROUP BY 1 HAVING count(*) > 1)
+SELECT qid, 'primary_only' AS name, ids[1]::VARCHAR AS ids FROM r UNION ALL SELECT qid, 'without_' || x, array_to_string(list_filter(ids, lambda y: y <> x), ',') FROM (SELECT qid, ids, unnest(ids) AS x FROM r)""")
+def qaf_16(spark, sf):
+    return op.subsets(table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 3).alias("qid"), F.col("doc_id").alias("pos"), F.col("doc_id").alias("id")))
+
+
+@query("qaf_23_regeneration_hops", f"WITH {BASE} SELECT id, CASE WHEN j % 2 = 0 THEN least(n_refs + 1, 3) ELSE n_refs END AS hops FROM qa")
+def qaf_23(spark, sf):
+    reason = F.when(F.col("j") % 2 == 0, "too_easy").otherwise("unsupported")
+    return rows(spark, sf).select("id", op.next_hops(reason, F.col("n_refs"), 3).alias("hops"))

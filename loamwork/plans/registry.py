@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("traces", "search", "profile", "linking", "qa", "rewards", "email", "chunking", "sources", "relational", "streams")
+FAMILIES = ("traces", "search", "profile", "linking", "qa", "rewards", "email", "chunking", "sources", "relational", "streams", "models")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
