@@ -142,3 +142,20 @@ def within_budget(pages: DataFrame, budget: int, chars_per_token: int = 4, least
     rows = pages.withColumn("tokens", tokens).withColumn("before", before).withColumn("left", budget - F.col("before"))
     rows = rows.where((F.col("tokens") <= F.col("left")) | (F.col("left") > least))
     return rows.select("pid", "title", F.least("tokens", "left").alias("used"), (F.col("tokens") > F.col("left")).alias("cut")).where("used > 0")
+
+
+def mode_rules(mode: Column, least: Column) -> Column:
+    """struct(needs_date, same_file, coherence) of a reasoning mode (LNK-07)."""
+    low = F.when(mode == "inference", F.greatest(0.5 * least, F.lit(0.05))).otherwise(least)
+    return F.struct((mode == "temporal").alias("needs_date"), (mode == "sequential").alias("same_file"), low.alias("coherence"))
+
+
+def agent_confidence(fulfilled: Column, survived: Column, chain: Column) -> Column:
+    """.4 fulfilment + .3 survival + .3 chain: 1 whole, .3 partial, 0 none (LNK-13)."""
+    linked = F.when(chain == "whole", 1.0).when(chain == "partial", 0.3).otherwise(0.0)
+    return 0.4 * fulfilled + 0.3 * survived + 0.3 * linked
+
+
+def link_counters(log: DataFrame) -> DataFrame:
+    """Queries tried, results found and connections made, by type (PRF-24).  log: type, results."""
+    return log.groupBy("type").agg(F.count("*").alias("queries"), F.sum("results").alias("results"), F.count(F.when(F.col("results") > 0, 1)).alias("connected"))

@@ -58,3 +58,12 @@ def judge_flags(text: Column) -> Column:
     yes = F.lower(F.coalesce(F.get_json_object(body, "$.answerable"), F.lit("false"))) == "true"
     sure = F.coalesce(F.expr("0.0D") + F.get_json_object(body, "$.confidence").try_cast("double"), F.lit(0.0))
     return F.struct(yes.alias("answerable"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure)).alias("confidence"), F.get_json_object(body, "$.reason").alias("reason"))
+
+
+def pivot_rating(text: Column) -> Column:
+    """struct(score, category) of a rating's JSON: clamped, unknown categories and unreadable answers downstream (TRC-22)."""
+    body = F.regexp_extract(without_fences(text), r"(?s)(\{.*\})", 1)
+    score = F.get_json_object(body, "$.importance_score").try_cast("double")
+    kind = F.get_json_object(body, "$.category")
+    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(score, F.lit(0.5))))
+    return F.struct(clamped.alias("score"), F.when(kind.isin("pivot", "downstream", "trivial"), kind).otherwise("downstream").alias("category"))

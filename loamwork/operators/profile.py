@@ -89,8 +89,9 @@ def kind(name: Column) -> Column:
 def entity_edges(chunks: DataFrame, entities: DataFrame) -> DataFrame:
     """(name, id) where a chunk's text holds an entity's name, regardless of case (PRF-10).
 
-    One-word names are joined by their words; the substring test then decides
-    only for the other names, so that the nested loop is over few.
+    entities is a capped dimension (the profile keeps a stated number of names),
+    so it is broadcast; the test itself is a substring search per pair, as the
+    names may stand inside words.
     """
     low = chunks.select("id", F.lower("text").alias("t"))
     return low.join(F.broadcast(entities.select("name")), F.expr("contains(t, lower(name))")).select("name", "id")

@@ -283,3 +283,26 @@ def subsets(refs: DataFrame) -> DataFrame:
 def next_hops(reason: Column, hops: Column, most: int = 6) -> Column:
     """Hop count of a regeneration: one more if the question was too easy (QAF-23)."""
     return F.when(reason == "too_easy", F.least(hops + 1, F.lit(most))).otherwise(hops)
+
+
+def error_verdict(refinements: Column, passes_on_error: Column, most: int = 2) -> Column:
+    """A failed judge refines while the budget lasts, then rejects; the rollout filter passes (QAF-42)."""
+    return F.when(passes_on_error, "passed").when(refinements < most, "needs_refinement").otherwise("rejected")
+
+
+def parse_accounting(rows: DataFrame) -> DataFrame:
+    """Failed calls, empty answers, unreadable answers, good ones (QAF-40).  rows: response, question, answer."""
+    empty = F.trim("response") == ""
+    read = F.col("question").isNotNull() & F.col("answer").isNotNull()
+    return rows.agg(
+        F.count(F.when(F.col("response").isNull(), 1)).alias("failed"), F.count(F.when(empty, 1)).alias("empty"),
+        F.count(F.when(~empty & ~read, 1)).alias("unreadable"), F.count(F.when(read, 1)).alias("parsed"),
+    )
+
+
+def filter_statistics(rows: DataFrame) -> DataFrame:
+    """Rows by filter and status, with the share that passed (QAF-43).  rows: filter, status."""
+    return rows.groupBy("filter").agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("status") == "passed", 1)).alias("passed"), F.count(F.when(F.col("status") == "needs_refinement", 1)).alias("refine"),
+        F.round(F.avg((F.col("status") == "passed").cast("double")), 6).alias("share"),
+    )

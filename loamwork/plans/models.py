@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.greedy import leaders
+from ..operators import linking
 from ..operators import models as op
 from ..operators import qa
 from ..operators import traces as tr
@@ -69,3 +70,48 @@ def qaf_20(spark, sf):
     guard = qa.guard_reason(F.col("question"), F.col("answer"), F.col("n_refs"), F.col("style"), F.col("j") / 10.0)
     gate = qa.gate_reason(F.col("question"), F.col("answer"))
     return rows(spark, sf).select("id", F.coalesce(F.concat(F.lit("guards:"), guard), F.concat(F.lit("gate:"), gate)).alias("reason"))
+
+
+@query("trc_22_pivot_ratings", "SELECT item_id, CASE item_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.25 ELSE 0.5 END::DOUBLE AS score, CASE item_id % 4 WHEN 0 THEN 'pivot' ELSE 'downstream' END AS category FROM benchmark")
+def trc_22(spark, sf):
+    text = F.expr("""CASE item_id % 4 WHEN 0 THEN '{"importance_score": 3, "category": "pivot"}' WHEN 1 THEN 'so {"importance_score": 0.25, "category": "odd"}' WHEN 2 THEN '{"category": "downstream"}' ELSE 'none' END""")
+    return table(spark, sf, "benchmark").select("item_id", op.pivot_rating(text).alias("r")).select("item_id", "r.*")
+
+
+@query("lnk_07_mode_rules", "SELECT doc_id, doc_id % 3 = 0 AS needs_date, doc_id % 3 = 1 AS same_file, CASE WHEN doc_id % 3 = 2 THEN greatest(0.5::DOUBLE * ((doc_id % 10) / 20), 0.05::DOUBLE) ELSE (doc_id % 10) / 20 END AS coherence FROM documents")
+def lnk_07(spark, sf):
+    mode = F.expr("CASE doc_id % 3 WHEN 0 THEN 'temporal' WHEN 1 THEN 'sequential' ELSE 'inference' END")
+    return table(spark, sf, "documents").select("doc_id", linking.mode_rules(mode, F.col("doc_id") % 10 / 20).alias("m")).select("doc_id", "m.*")
+
+
+@query("lnk_13_agent_confidence", "SELECT doc_id, round(0.4::DOUBLE * ((doc_id % 4) / 3) + 0.3::DOUBLE * ((doc_id % 6) / 5) + 0.3::DOUBLE * CASE doc_id % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END, 6) AS confidence FROM documents")
+def lnk_13(spark, sf):
+    i = F.col("doc_id")
+    chain = F.expr("CASE doc_id % 3 WHEN 0 THEN 'whole' WHEN 1 THEN 'partial' ELSE 'none' END")
+    return table(spark, sf, "documents").select("doc_id", F.round(linking.agent_confidence(i % 4 / 3, i % 6 / 5, chain), 6).alias("confidence"))
+
+
+@query("prf_24_link_counters", "SELECT event_type AS type, count(*) AS queries, sum(event_id % 3)::BIGINT AS results, count(*) FILTER (event_id % 3 > 0) AS connected FROM events GROUP BY event_type")
+def prf_24(spark, sf):
+    return linking.link_counters(table(spark, sf, "events").select(F.col("event_type").alias("type"), (F.col("event_id") % 3).alias("results")))
+
+
+@query("qaf_40_parse_accounting", "SELECT count(*) FILTER (item_id % 4 = 0) AS failed, count(*) FILTER (item_id % 4 = 1) AS empty, count(*) FILTER (item_id % 4 = 2) AS unreadable, count(*) FILTER (item_id % 4 = 3) AS parsed FROM benchmark")
+def qaf_40(spark, sf):
+    text = F.expr("""CASE item_id % 4 WHEN 1 THEN ' ' WHEN 2 THEN 'noise' WHEN 3 THEN '{"question":"q","answer":"a"}' END""")
+    rows = table(spark, sf, "benchmark").select(text.alias("response"), op.parse_qa(text).alias("p"))
+    return qa.parse_accounting(rows.select("response", "p.*"))
+
+
+STATUS = "CASE WHEN event_type = 'error' THEN 'passed' WHEN user_id % 3 < 2 THEN 'needs_refinement' ELSE 'rejected' END"
+
+
+@query("qaf_42_error_verdicts", f"SELECT event_id, {STATUS} AS verdict FROM events")
+def qaf_42(spark, sf):
+    return table(spark, sf, "events").select("event_id", qa.error_verdict(F.col("user_id") % 3, F.col("event_type") == "error").alias("verdict"))
+
+
+@query("qaf_43_filter_statistics", f"WITH s AS (SELECT event_type AS filter, {STATUS} AS status FROM events) SELECT filter, count(*) AS n, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'needs_refinement') AS refine, round(avg((status = 'passed')::INT), 6) AS share FROM s GROUP BY filter")
+def qaf_43(spark, sf):
+    rows = table(spark, sf, "events").select(F.col("event_type").alias("filter"), qa.error_verdict(F.col("user_id") % 3, F.col("event_type") == "error").alias("status"))
+    return qa.filter_statistics(rows)
