@@ -52,15 +52,66 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def _blocks(rows: DataFrame, kind: str, most: int = 8192) -> DataFrame:
+    """rows (id, vector) as (ids, size, data): vectors of one size side by side, about *most* rows a partition."""
+
+    def pack(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held).sort_by("id").combine_chunks()
+        sizes = pc.list_value_length(table["vector"])
+        for size in pc.unique(sizes).to_pylist():
+            own = table.filter(pc.equal(sizes, size))
+            data = pc.list_flatten(own["vector"]).to_numpy().astype("float64").tobytes()
+            ids = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own["id"].combine_chunks())
+            yield pa.RecordBatch.from_arrays([ids, pa.array([size], pa.int32()), pa.array([data], pa.binary())], ["ids", "size", "data"])
+
+    return rows.repartition(max(1, -(-rows.count() // most))).mapInArrow(pack, f"ids array<{kind}>, size int, data binary")
+
+
 def vector_search(corpus: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6, where: Column | None = None) -> DataFrame:
     """Exact cosine top-k: corpus (id, vector), queries (qid, qvector) (SRH-02, 07).
 
-    A stated query set is compared with all rows: the queries are the small
-    side, and each task keeps its k best per query before the shuffle.
+    Any number of queries is compared with all rows, block by block as a matrix
+    product; a pair of blocks keeps its k best per query, ties by id, before the
+    shuffle.  Vectors of another size match nothing; a vector of zeros or with
+    nulls has a null score, which comes last.
     """
     rows = corpus if where is None else corpus.where(where)
-    pairs = rows.join(queries, F.size("vector") == F.size("qvector"))
-    return top(pairs.select("qid", "id", F.round(cosine(F.col("vector"), F.col("qvector")), digits).alias("score")), k)
+    rows = rows.select("id", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+    asked = queries.select(F.col("qid").alias("id"), F.col("qvector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+    kind, qkind = rows.schema["id"].dataType.simpleString(), asked.schema["id"].dataType.simpleString()
+
+    def nearest(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for n in range(batch.num_rows):
+                qids, ids = batch["qids"][n].values, batch["ids"][n].values
+                size = batch["size"][n].as_py()
+                if size != batch["qsize"][n].as_py():
+                    continue
+                q = np.frombuffer(batch["qdata"][n].as_py()).reshape(len(qids), size)
+                x = np.frombuffer(batch["data"][n].as_py()).reshape(len(ids), size)
+                qq, xx = (q * q).sum(axis=1), (x * x).sum(axis=1)
+                for at in range(0, len(q), 256):
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        score = np.round(q[at : at + 256] @ x.T / np.sqrt(np.outer(qq[at : at + 256], xx)), digits)
+                    score[~np.isfinite(score)] = -np.inf
+                    least = np.partition(score, -k, axis=1)[:, -k, None] if k < len(x) else np.full((len(score), 1), -np.inf)
+                    tied = score == least
+                    room = k - (score > least).sum(axis=1, keepdims=True)
+                    i, j = np.nonzero((score > least) | (tied & (np.cumsum(tied, axis=1) <= room)))
+                    found = score[i, j]
+                    yield pa.RecordBatch.from_arrays([qids.take(pa.array(i + at)), ids.take(pa.array(j)), pa.array(found, mask=np.isinf(found))], ["qid", "id", "score"])
+
+    pairs = _blocks(asked, qkind).select(F.col("ids").alias("qids"), F.col("size").alias("qsize"), F.col("data").alias("qdata")).crossJoin(_blocks(rows, kind))
+    return top(pairs.mapInArrow(nearest, f"qid {qkind}, id {kind}, score double"), k)
 
 
 def distance_score(distance: Column) -> Column:
