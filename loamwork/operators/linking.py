@@ -35,9 +35,15 @@ def longest_capitalised(text: Column) -> Column:
     return F.get(F.filter(runs, lambda r: F.length(r) == top), F.lit(0))
 
 
-def candidates(hits: DataFrame, chunks: DataFrame, used: DataFrame, least: int = 400) -> DataFrame:
-    """Hits (pid, id, score) that can be linked: another chunk and file, long enough, unused (LNK-03)."""
+def candidates(hits: DataFrame, chunks: DataFrame, used: DataFrame, least: int = 400, primaries: DataFrame | None = None) -> DataFrame:
+    """Hits (pid, id, score) that can be linked: another chunk and file, long enough, unused (LNK-03).
+
+    primaries (pid), where given, are few: their texts are broadcast, so that
+    the candidates' texts are not shuffled once per primary.
+    """
     p = chunks.select(F.col("id").alias("pid"), F.col("file").alias("pfile"), F.col("text").alias("ptext"))
+    if primaries is not None:
+        p = F.broadcast(p.join(F.broadcast(primaries), "pid", "left_semi"))
     rows = hits.where("pid <> id").groupBy("pid", "id").agg(F.max("score").alias("score")).join(chunks, "id").where(F.length("text") >= least)
     return rows.join(p, "pid").where("file <> pfile").join(used, "id", "left_anti")
 

@@ -25,8 +25,8 @@ def docs(spark, sf):
 def cands(spark, sf):
     d = docs(spark, sf)
     primary = d.groupBy("file").agg(F.min("id").alias("pid")).select("pid")
-    hits = d.select("id").join(F.broadcast(primary), (F.col("id") + F.col("pid")) % 9 == 0).select("pid", "id", ((F.col("id") * 7 + F.col("pid") * 3) % 97 / 10).alias("score"))
-    return op.candidates(hits, d, d.where("id % 10 = 3").select("id"))
+    hits = d.select("id").crossJoin(F.broadcast(primary)).select("pid", "id", ((F.col("id") * 7 + F.col("pid") * 3) % 97 / 10).alias("score"))
+    return op.candidates(hits, d, d.where("id % 10 = 3").select("id"), primaries=primary)
 
 
 def rank(spark, sf):
@@ -99,7 +99,7 @@ def lnk_11(spark, sf):
     names = entities(spark, sf)
     edges = prof.entity_edges(chunks(spark, sf), names)
     quality = names.where("length(name) % 2 = 1").withColumn("q", F.lit(0.8))
-    return op.graph_scores(edges, quality).where("pid < 50")
+    return op.graph_scores(edges, quality)
 
 
 @query("lnk_14_rollout_parsing", r"""WITH t AS (SELECT item_id, '<tool_call>{"name":"search","arguments":{"query":"' || regexp_extract(text, '[A-Za-z]+') || '"}}</tool_call> x <tool_call>bad</tool_call> <Evidence_Chain> ' || substr(text, 1, 20) || ' </evidence_chain>' AS x FROM benchmark)
