@@ -207,6 +207,17 @@ def duplicate_pairs(texts: DataFrame, threshold: float = 0.9, bands: int = 20, r
     return checked.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
+def duplicate_links(texts: DataFrame) -> DataFrame:
+    """Pairs (a < b) whose components are the duplicate clusters: near copies, and each exact copy with its class's first (EML-14, 16).
+
+    duplicate_pairs names a class of equal shingle sets by its smallest id only.
+    """
+    sets = texts.select("id", F.array_sort(shingles(F.col("text"))).alias("s")).where(F.size("s") > 0).select("id", F.sha2(F.array_join("s", ","), 256).alias("s"))
+    first = sets.groupBy("s").agg(F.min("id").alias("a"))
+    copies = sets.join(first, "s").where("a < id").select("a", F.col("id").alias("b"))
+    return duplicate_pairs(texts).select("a", "b").union(copies)
+
+
 def quote_start(body: Column) -> Column:
     """The number of the first line that starts a quoted mail, from 0; null without one (EML-17)."""
     lines = F.split(body, "\n")

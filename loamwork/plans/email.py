@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.greedy import components
 from ..operators import email as op
 from .registry import query, table
 
@@ -157,16 +158,15 @@ e AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr), re(a, b) AS (SELECT a, a F
 @query("eml_14_collapse", f"""WITH RECURSIVE {COMPONENTS}, t AS (SELECT doc_id AS id, n_chars, doc_id % 5 AS n_mails, coalesce(root, doc_id) AS root FROM documents LEFT JOIN ro ON doc_id = id)
 SELECT id, root, row_number() OVER (PARTITION BY root ORDER BY n_chars DESC, n_mails DESC, id) = 1 AS kept FROM t""")
 def eml_14(spark, sf):
-    d = table(spark, sf, "documents")
-    heads = d.select(F.col("doc_id").alias("id"), F.substring("text", 1, 30).alias("h"))
-    first = heads.groupBy("h").agg(F.min("id").alias("a"))
-    pairs = heads.join(first, "h").where("a < id").select("a", F.col("id").alias("b"))
-    return op.collapse(d.select(F.col("doc_id").alias("id"), "n_chars", (F.col("doc_id") % 5).alias("n_mails")), pairs)
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "n_chars", (F.col("doc_id") % 5).alias("n_mails"))
+    return op.collapse(d.drop("text"), op.duplicate_links(d.select("id", "text")))
 
 
 @query("eml_16_dedupe_report", "SELECT CASE WHEN n > 1 THEN 'clustered' ELSE 'single' END AS kind, count(*) AS groups, sum(n)::BIGINT AS threads, sum(n - 1)::BIGINT AS dropped FROM (SELECT count(*) AS n FROM documents GROUP BY substr(text, 1, 30)) GROUP BY 1")
 def eml_16(spark, sf):
-    sizes = table(spark, sf, "documents").groupBy(F.substring("text", 1, 30).alias("h")).agg(F.count("*").alias("n"))
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    roots = texts.select("id").join(components(op.duplicate_links(texts)), "id", "left")
+    sizes = roots.groupBy(F.coalesce("root", "id").alias("root")).agg(F.count("*").alias("n"))
     return sizes.groupBy(F.when(F.col("n") > 1, "clustered").otherwise("single").alias("kind")).agg(F.count("*").alias("groups"), F.sum("n").alias("threads"), F.sum(F.col("n") - 1).alias("dropped"))
 
 
