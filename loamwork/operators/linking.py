@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.greedy import cut
 from ..functions.sets import jaccard
 from ..functions.text import blank_split
 
@@ -65,15 +66,29 @@ def ranked(rows: DataFrame, bonus: Column, entity_ratio: Column, digits: int = 6
 def diverse(rows: DataFrame, k: int = 3, limit: float = 0.55, pool: int = 20) -> DataFrame:
     """Greedy pick in rank order: skip what overlaps an earlier pick too much (LNK-06).
 
-    The pool per primary is small by definition (top candidates), so the greedy
-    fold runs over an array inside one row.
+    Equal token sets overlap whole, so the first of each stands for all; empty
+    sets overlap nothing and each stands for itself.  A round folds the *pool*
+    best that are left of a primary into its picks; the next drops what they
+    rule out and goes on, until k are picked or no candidate is left.
     """
-    some = rows.where(F.col("rank") <= pool).select("pid", F.struct("rank", "id", token_set(F.col("text")).alias("w")).alias("c"))
-    grouped = some.groupBy("pid").agg(F.array_sort(F.collect_list("c")).alias("cs"))
-    kind = grouped.schema["cs"].dataType.simpleString()
+    all_ = rows.select("pid", "rank", "id", token_set(F.col("text")).alias("w"))
+    same = F.when(F.size("w") > 0, F.sha2(F.to_json(F.array_sort("w")), 256)).otherwise(F.concat(F.lit("empty "), F.col("rank").cast("string")))
+    first = F.min_by(F.struct("id", "w"), "rank")
+    once = all_.withColumn("same", same).groupBy("pid", "same").agg(F.min("rank").alias("rank"), first.alias("s"))
+    left = cut(once.select("pid", F.struct("rank", "s.id", "s.w").alias("c")))
+    kind = left.schema["c"].dataType.simpleString()
+    none = F.array().cast(f"array<{kind}>")
     near = lambda a, c: F.exists(a, lambda p: jaccard(p["w"], c["w"]) > limit)
-    fold = F.aggregate("cs", F.array().cast(kind), lambda a, c: F.when((F.size(a) >= k) | near(a, c), a).otherwise(F.concat(a, F.array(c))))
-    return grouped.select("pid", F.posexplode(fold).alias("place", "c")).select("pid", "place", F.col("c.id").alias("id"))
+    picks = cut(left.select("pid").distinct().withColumn("picked", none))
+    while not left.isEmpty():
+        best = F.row_number().over(Window.partitionBy("pid").orderBy("c.rank"))
+        some = left.withColumn("n", best).where(F.col("n") <= pool).groupBy("pid").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+        fold = F.aggregate("cs", "picked", lambda a, c: F.when((F.size(a) >= k) | near(a, c), a).otherwise(F.concat(a, F.array(c))))
+        step = cut(picks.join(some.select("pid", "cs"), "pid", "left").withColumn("cs", F.coalesce("cs", none)).select("pid", fold.alias("picked"), F.when(F.size("cs") > 0, F.get("cs", F.size("cs") - 1)["rank"]).alias("seen")))
+        picks = step.select("pid", "picked")
+        open_ = step.where((F.size("picked") < k) & F.col("seen").isNotNull())
+        left = cut(left.join(open_, "pid").where((F.col("c.rank") > F.col("seen")) & ~near(F.col("picked"), F.col("c"))).select("pid", "c"))
+    return picks.select("pid", F.posexplode("picked").alias("place", "c")).select("pid", "place", F.col("c.id").alias("id"))
 
 
 def date_rerank(rank: Column, n: Column, days: Column, max_days: Column, digits: int = 6) -> Column:

@@ -1,5 +1,6 @@
 from collections import Counter
 
+from loamwork.operators import linking as op
 from loamwork.plans import linking
 
 
@@ -34,3 +35,13 @@ def test_every_document_has_graph_scores(spark, tmp_path):
                 s = sum(x[w] for w in set(x) & set(y))
                 want[a, b] = (round(s / len(x), 6), round((sum(y.values()) - s) / len(y), 6))
     assert got == want and max(a for a, _ in got) == n - 1
+
+
+def test_the_pick_goes_on_past_copies(spark):
+    texts = ["a b c d"] * 30 + [f"a b c d e{i % 2}" for i in range(45)] + ["x y z", "", "q r s"]
+    rows = spark.createDataFrame([(p, i, t, i + 1) for p in (1, 2) for i, t in enumerate(texts[: 76 + p])], "pid int, id int, text string, rank int")
+    got = {p: [r.id for r in op.diverse(rows.where(f"pid = {p}")).orderBy("place").collect()] for p in (1, 2)}
+    assert got == {1: [0, 75, 76], 2: [0, 75, 76]}
+    near = spark.createDataFrame([(1, i, f"a b c d e f g h i{i}", i + 1) for i in range(50)] + [(1, 50, "x", 51), (1, 51, "y", 52)], "pid int, id int, text string, rank int")
+    assert [r.id for r in op.diverse(near).orderBy("place").collect()] == [0, 50, 51]
+    assert op.diverse(near.limit(0)).count() == 0
