@@ -43,7 +43,7 @@ def qaf_41(spark, sf):
 
 @query("qaf_25_greedy_question_dedup")
 def qaf_25(spark, sf):
-    q = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("question"))
+    q = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("question"))
     return leaders(qa.similar_pairs(q, 0.7))
 
 

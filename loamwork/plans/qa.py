@@ -112,7 +112,7 @@ BIGRAMS = r"""bg AS (SELECT id, list_distinct(list_transform(generate_series(1,
 
 @query("qaf_24_early_dedup", f"WITH {BIGRAMS} SELECT a.id, round(max(len(list_intersect(a.b, c.b)) / (len(a.b) + len(c.b) - len(list_intersect(a.b, c.b)))), 6) AS similarity FROM bg a JOIN bg c ON a.id % 2 = 1 AND c.id % 2 = 0 AND len(list_intersect(a.b, c.b)) >= 0.7 * (len(a.b) + len(c.b) - len(list_intersect(a.b, c.b))) GROUP BY a.id")
 def qaf_24(spark, sf):
-    q = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("question"))
+    q = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("question"))
     return op.near_questions(q.where("id % 2 = 1"), q.where("id % 2 = 0")).withColumn("similarity", F.round("similarity", 6))
 
 

@@ -29,7 +29,7 @@ def refs():
 @query("rwd_01_character_overlap")
 def rwd_01(spark, sf):
     rows = completions(spark, sf)
-    return rows.select("conv_id", "turn", F.round(op.character_overlap(F.substring("text", 1, 200), F.substring("completion", 1, 300)), 6).alias("share"))
+    return rows.select("conv_id", "turn", F.round(op.character_overlap(F.col("text"), F.col("completion")), 6).alias("share"))
 
 
 @query("rwd_02_overlap_reward", f"WITH {BASE} SELECT conv_id, turn, CASE WHEN (length(completion) - length(replace(completion, '<tool_call>', ''))) / 11 >= 4 OR correct < 0.25 THEN 0.0 ELSE correct END AS reward FROM c")
