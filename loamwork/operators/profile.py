@@ -89,12 +89,17 @@ def kind(name: Column) -> Column:
 def entity_edges(chunks: DataFrame, entities: DataFrame) -> DataFrame:
     """(name, id) where a chunk's text holds an entity's name, regardless of case (PRF-10).
 
-    entities is a capped dimension (the profile keeps a stated number of names),
-    so it is broadcast; the test itself is a substring search per pair, as the
-    names may stand inside words.
+    A name may stand inside a word.  One of word characters only stands inside a
+    single word, so it is searched in each distinct word once and joined with
+    the chunks that hold the word; other names are searched in every text.
     """
+    names = entities.select("name", F.lower("name").alias("low"), F.lower("name").rlike(r"^[\p{L}\p{N}_]+$").alias("word"))
+    tokens = chunks.select("id", F.explode(F.array_distinct(words(F.col("text")))).alias("token"))
+    holds = tokens.select("token").distinct().join(F.broadcast(names.where("word")), F.expr("contains(token, low)")).select("token", "name")
+    inside = tokens.join(holds, "token").select("name", "id").distinct()
     low = chunks.select("id", F.lower("text").alias("t"))
-    return low.join(F.broadcast(entities.select("name")), F.expr("contains(t, lower(name))")).select("name", "id")
+    rest = low.join(F.broadcast(names.where("NOT word")), F.expr("contains(t, low)")).select("name", "id")
+    return inside.union(rest)
 
 
 def graph_stats(edges: DataFrame, total: DataFrame, digits: int = 6) -> DataFrame:

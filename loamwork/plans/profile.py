@@ -41,7 +41,7 @@ ENT = f"""ent AS (SELECT token AS name FROM tdf, (SELECT count(*) AS n FROM docu
 
 def entities(spark, sf):
     df = op.token_df(chunks(spark, sf), 5).join(F.broadcast(total(spark, sf)))
-    return df.where((F.col("df") >= 0.02 * F.col("n")) & (F.col("df") < 0.4 * F.col("n"))).orderBy(F.desc("df"), "token").limit(40).select(F.col("token").alias("name"))
+    return df.where((F.col("df") >= 0.02 * F.col("n")) & (F.col("df") < 0.4 * F.col("n"))).select(F.col("token").alias("name"))
 
 
 @query("prf_03_entity_patterns", f"""WITH {DF}, {ENT}, u AS (SELECT upper(name) AS name, 'entity' AS type, 0 AS p, length(name) AS pos FROM ent UNION ALL SELECT DISTINCT source, 'code_pattern', 1, length(source) FROM documents UNION ALL SELECT name, 'domain_term', 2, length(name) FROM ent UNION ALL SELECT unnest(['the', 'ab', 'Widget ']), 'domain_term', 2, 1)
