@@ -35,6 +35,17 @@ def tokens(text: str) -> list[str]:
     return sorted({w for w in re.split(SEPARATORS, text.lower()) if w})
 
 
+#: Fixed value: templates of so many distinct words or fewer need a word of their own.
+SHORT = 8
+
+
+def _span(text: str) -> int:
+    """The words of a template, rounded up to a power of two from 8."""
+    import re
+
+    return max(8, 1 << (len([w for w in re.split(SEPARATORS, text.lower()) if w]) - 1).bit_length())
+
+
 def _sql(words: Sequence[str]) -> str:
     return "array(" + ", ".join(f"'{w}'" for w in words) + ")"
 
@@ -46,12 +57,17 @@ def _places(phrase: str) -> str:
     return f"filter(sequence(0, greatest(size(words) - {len(words)}, 0)), i -> {same})"
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, Sequence[str]] = TEMPLATES, phrases: Mapping[str, str] = PHRASES, threshold: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, Sequence[str]] = TEMPLATES, phrases: Mapping[str, str] = PHRASES, threshold: float = 0.8, windows: bool = False) -> DataFrame:
     """License phrases and templates in every whole text, one row per input row.
 
     Base: places where a phrase's words stand consecutively (over line ends,
-    too).  Method: the text's blocks are its lines; a block matches a template
-    if it holds at least *threshold* of the template's distinct words.  The
+    too).  Method: the text's blocks are its lines or, with *windows*, stretches
+    of its words regardless of line ends; a block matches a template if it holds
+    at least *threshold* of the template's distinct words.  Stretches have twice
+    the template's words, rounded up to 8, 16, 32 ..., and start anew every half,
+    so that each window of a template's length lies in one of them; of a
+    template of SHORT words or fewer they must hold a word that no other label
+    has.  The
     words of all templates are counted over all blocks and ordered by that
     frequency, rarest first.  A template that needs m of its n words must share
     one of its first n - m + 1 with a matching block (prefix filter); the block
@@ -67,36 +83,43 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
     scanned each by itself; an empty table gives an empty table; other columns
     are ignored.
     """
-    known = sorted({(label, tuple(tokens(t))) for label, texts in templates.items() for t in texts if tokens(t)})
-    needs = [math.ceil(threshold * len(words) - 1e-9) for _, words in known]
-    universe = sorted({w for _, words in known for w in words})
-    least = min(needs, default=1)
+    known = sorted({(label, tuple(tokens(t)), _span(t) if windows else 0) for label, texts in templates.items() for t in texts if tokens(t)})
+    needs = [math.ceil(threshold * len(words) - 1e-9) for _, words, _ in known]
+    universe = sorted({w for _, words, _ in known for w in words})
     rows = docs.select(F.col(id_col), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     rows = rows.withColumn("lines", F.expr(rf"transform(split(text, '\n'), l -> array_remove(split(l, r'{SEPARATORS}'), ''))"))
-    rows = rows.withColumn("words", F.when(F.col("text").contains("license"), F.flatten("lines")).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("words", F.when(F.lit(windows) | F.col("text").contains("license"), F.flatten("lines")).otherwise(F.array().cast("array<string>")))
     found = ", ".join(f"transform({_places(p)}, i -> named_struct('at', i, 'label', '{label}'))" for p, label in phrases.items())
+    cuts = []
+    for span in sorted({s for *_, s in known}):
+        mine = [(words, need) for (_, words, s), need in zip(known, needs, strict=True) if s == span]
+        own = f"array_intersect(b, {_sql(sorted({w for words, _ in mine for w in words}))})"
+        pieces = f"transform(sequence(0, greatest(size(words) - 1, 0), {span}), i -> slice(words, i + 1, {2 * span}))" if span else "lines"
+        cuts.append(f"transform(filter(transform({pieces}, b -> {own}), w -> size(w) >= {min(n for _, n in mine)}), w -> named_struct('span', {span}, 'words', w))")
     rows = rows.select(
         F.monotonically_increasing_id().alias("row"),
         id_col,
         F.expr("aggregate(lines, 0L, (n, l) -> n + size(l))").alias("n_words"),
         F.expr(f"concat({found})" if found else "cast(array() as array<struct<at: int, label: string>>)").alias("base"),
-        F.expr(f"filter(transform(lines, l -> array_intersect(l, {_sql(universe)})), l -> size(l) >= {least})" if universe else "cast(array() as array<array<string>>)").alias("blocks"),
+        F.expr(f"concat({', '.join(cuts)})" if cuts else "cast(array() as array<struct<span: int, words: array<string>>>)").alias("blocks"),
     )
     rows = materialise(rows, "scanned")
-    blocks = rows.select("row", F.posexplode("blocks").alias("block", "words"))
+    blocks = rows.select("row", F.posexplode("blocks").alias("block", "b")).select("row", "block", "b.span", "b.words")
     counts = {r["w"]: r["n"] for r in blocks.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     order = sorted(universe, key=lambda w: (counts.get(w, 0), w))
     rank = {w: k for k, w in enumerate(order)}
     entries = []
-    for (label, words), need in zip(known, needs, strict=True):
+    for (label, words, span), need in zip(known, needs, strict=True):
         own = sorted(rank[w] for w in words)
-        entries += [(own[i], label, i, need, own) for i in range(len(own) - need + 1)]
-    prefixes = docs.sparkSession.createDataFrame(entries, "rank int, label string, i int, need int, own array<int>")
-    ranked = blocks.select("row", "block", F.expr(f"array_sort(transform(words, w -> cast(array_position({_sql(order)}, w) as int) - 1))" if order else "cast(array() as array<int>)").alias("ranks"))
-    probes = ranked.select("row", "block", "ranks", F.posexplode("ranks").alias("j", "rank"))
-    pairs = probes.join(F.broadcast(prefixes), "rank").where(F.size("ranks") >= F.col("need"))
+        others = {w for other, theirs, _ in known if other != label for w in theirs}
+        marks = [rank[w] for w in words if w not in others] if windows and len(words) <= SHORT else []
+        entries += [(own[i], label, i, need, own, span, marks) for i in range(len(own) - need + 1)]
+    prefixes = docs.sparkSession.createDataFrame(entries, "rank int, label string, i int, need int, own array<int>, span int, marks array<int>")
+    ranked = blocks.select("row", "block", "span", F.expr(f"array_sort(transform(words, w -> cast(array_position({_sql(order)}, w) as int) - 1))" if order else "cast(array() as array<int>)").alias("ranks"))
+    probes = ranked.select("row", "block", "span", "ranks", F.posexplode("ranks").alias("j", "rank"))
+    pairs = probes.join(F.broadcast(prefixes), ["rank", "span"]).where(F.size("ranks") >= F.col("need"))
     pairs = pairs.where(F.least(F.size("own") - F.col("i"), F.size("ranks") - F.col("j")) >= F.col("need"))
-    pairs = pairs.withColumn("overlap", F.size(F.array_intersect("ranks", "own"))).where("overlap >= need")
+    pairs = pairs.withColumn("overlap", F.size(F.array_intersect("ranks", "own"))).where("overlap >= need AND (size(marks) = 0 OR arrays_overlap(marks, ranks))")
     pairs = pairs.select("row", "block", "label", "own", (F.col("overlap") / F.size("own")).alias("share")).distinct()
     matched = pairs.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"), F.count("*").alias("n_blocks"))
     matched = materialise(matched, "matched")
