@@ -60,8 +60,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     Returns the input's columns with ``copy`` (from 1), ``rate`` (rounded to 6
     places) and ``shuffle_key`` (bigint; the order within a partition); columns
     of these names in the input are replaced.  Rows with no copy are left out.
-    A null source is a source of its own; rows with a null id count as having
-    the id ''; rows with equal ids have equally many copies; an empty table
+    A null source is a source of its own; a row with a null id is
+    drawn by a hash of its other columns; rows with equal ids have equally many copies; an empty table
     gives an empty table.
     """
     spark = docs.sparkSession
@@ -70,7 +70,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     rates = rates.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
     if rates.count() <= FEW_SOURCES:
         rates = F.broadcast(rates)
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    own = F.sha2(F.to_json(F.struct(*(F.col(c) for c in kept if c != id_col), F.lit(1).alias("__one"))), 256)
+    key = F.coalesce(F.col(id_col).cast("string"), own)
 
     def draw(part):
         digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key, part.cast("string"))), 1, 13)
