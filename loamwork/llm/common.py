@@ -51,6 +51,14 @@ def release(*frames: DataFrame | None) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that *df* does not have, whatever the case: *name* and underscores."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches() -> None:
     """Have Spark hand texts to Python in batches of few MB, however long they are.
 

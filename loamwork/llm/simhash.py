@@ -62,15 +62,17 @@ def as_hex(fingerprint: Column) -> Column:
     return F.lpad(F.lower(F.hex(fingerprint)), 16, "0")
 
 
-def trie_join(keys: np.ndarray, pairs: np.ndarray, budget: int, direct: int = 256) -> np.ndarray:
+def trie_join(keys: np.ndarray, pairs: np.ndarray, budget: int, visits: list[int] | None = None) -> np.ndarray:
     """Classes of the keys under links of *budget* differing bits or fewer.
 
     keys: uint64, sorted within each range.  pairs: rows (a0, a1, b0, b1, depth,
     diff), two nodes of a binary trie as ranges of keys, with the number of
     leading bits that all keys of a node share and how many of those differ
     between the two nodes.  Both nodes of a pair are opened together, bit by
-    bit; a pair is pruned once its differing bits exceed the budget, and its
-    keys are compared once there are few.  Returns a label per key.
+    bit, and the differing bits of their prefixes add up; a pair is pruned once
+    they exceed the budget.  A pair of nodes with one key each is a path to one
+    pair of leaves: its remaining bits are counted at once.  *visits* collects
+    the numbers of node pairs opened.  Returns a label per key.
     """
     label = np.arange(len(keys), dtype=np.int64)
     ones: dict[int, np.ndarray] = {}
@@ -81,27 +83,24 @@ def trie_join(keys: np.ndarray, pairs: np.ndarray, budget: int, direct: int = 25
             stack.append(now[50_000:])
             now = now[:50_000]
         a0, a1, b0, b1, depth, diff = now.T
-        product = (a1 - a0) * (b1 - b0)
-        few = (product <= direct) | (depth >= BITS)
-        if few.any():
-            starts, n = now[few], product[few]
-            ends = np.cumsum(n)
-            for lo in range(0, len(n), 4096):
-                hi = min(lo + 4096, len(n))
-                own, m = starts[lo:hi], n[lo:hi]
-                at = np.repeat(np.arange(len(m)), m)
-                off = np.arange(int(m.sum())) - np.repeat(ends[lo:hi] - m - (ends[lo - 1] if lo else 0), m)
-                wide = (own[:, 3] - own[:, 2])[at]
-                i, j = own[at, 0] + off // wide, own[at, 2] + off % wide
-                near = (i != j) & (label[i] != label[j])
-                i, j = i[near], j[near]
-                near = np.bitwise_count(keys[i] ^ keys[j]) <= budget
-                merge_labels(label, i[near], j[near])
-        now = now[~few]
+        d = int(depth[0])
+        single = (a1 - a0 == 1) & (b1 - b0 == 1)
+        if d >= BITS:  # equal keys only: all of a pair are linked, through the first of a
+            for w, x, y, z in now[:, :4]:
+                some = np.concatenate([np.arange(w, x), np.arange(y, z)])
+                merge_labels(label, some, np.full(len(some), w))
+            continue
+        i, j = a0[single], b0[single]
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+        near = np.bitwise_count(keys[i] ^ keys[j]) <= budget
+        merge_labels(label, i[near], j[near])
+        now = now[~single]
         if not len(now):
             continue
+        if visits is not None:
+            visits.append(len(now))
         a0, a1, b0, b1, depth, diff = now.T
-        d = int(depth[0])
         if d not in ones:
             bit = (keys >> np.uint64(BITS - 1 - d)) & np.uint64(1)
             ones[d] = np.concatenate(([0], np.cumsum(bit.astype(np.int64))))
@@ -111,7 +110,7 @@ def trie_join(keys: np.ndarray, pairs: np.ndarray, budget: int, direct: int = 25
         parts = [(a0, am, b0, bm, diff, None), (am, a1, bm, b1, diff, None), (a0, am, bm, b1, diff + 1, None), (am, a1, b0, bm, diff + 1, ~same)]
         opened = []
         for w, x, y, z, e, only in parts:
-            ok = (x > w) & (z > y) & (e <= budget)
+            ok = (x > w) & (z > y) & (e <= budget) & ~(same & (w == y) & (x - w == 1))
             if only is not None:
                 ok &= only
             opened.append(np.stack([w, x, y, z, np.full(len(w), d + 1), e], axis=1)[ok])
@@ -172,11 +171,12 @@ def _leaf_links(budget: int, chunk_rows: int = 50_000):
 _LEAF = ["rot", "depth", "a", "b"]
 
 
-def _open(members: DataFrame, full: DataFrame, budget: int) -> DataFrame:
+def _open(members: DataFrame, full: DataFrame, budget: int) -> tuple[DataFrame, list[DataFrame]]:
     """Deal the members of overfull node pairs to the pairs of their children.
 
     Only the children that exist meet, and only those whose prefixes differ in
     *budget* bits or fewer: the traversal step of the trie join, over nodes.
+    Also returns the tables that are read no more once the result is written.
     """
     shift = f"cast({BITS} - depth - {STEP} as int)"
     own = members.join(full, _LEAF, "left_semi").withColumn("child", F.expr(f"shiftrightunsigned(key, {shift})"))
@@ -193,7 +193,7 @@ def _open(members: DataFrame, full: DataFrame, budget: int) -> DataFrame:
     ))
     pairs = materialise(pairs.select(*_LEAF, "x", "y", F.explode(sides).alias("s")).select(*_LEAF, "x", "y", "s.*"), "pairs")
     dealt = own.join(pairs, [*_LEAF, "side", "child"])
-    return dealt.select("rot", (F.col("depth") + STEP).alias("depth"), F.col("x").alias("a"), F.col("y").alias("b"), F.col("to").alias("side"), "key")
+    return dealt.select("rot", (F.col("depth") + STEP).alias("depth"), F.col("x").alias("a"), F.col("y").alias("b"), F.col("to").alias("side"), "key"), [own, pairs]
 
 
 def fingerprint_links(classes: DataFrame, budget: int = 3, leaf_rows: int | None = None) -> DataFrame:
@@ -219,19 +219,24 @@ def fingerprint_links(classes: DataFrame, budget: int = 3, leaf_rows: int | None
     members = materialise(members, "members")
     if leaf_rows is None:
         leaf_rows = max(256, members.count() // parallelism(spark))
-    done: list[DataFrame] = []
+    done, spent = [], []
     while True:
         full = materialise(members.groupBy(*_LEAF).count().where(F.col("count") > leaf_rows).where(F.col("depth") < BITS).drop("count"), "full")
+        spent += [members, full]
         if full.isEmpty():
             done.append(members)
             break
         done.append(members.join(full, _LEAF, "left_anti"))
-        members = materialise(_open(members, full, budget), "members")
+        dealt, used = _open(members, full, budget)
+        members = materialise(dealt, "members")
+        release(*used)
     leaves = done[0]
     for more in done[1:]:
         leaves = leaves.union(more)
     crowded = leaves.repartition(parallelism(spark), *_LEAF).sortWithinPartitions(*_LEAF, "side", "key")
-    return crowded.mapInArrow(_leaf_links(budget), "a bigint, b bigint")
+    links = materialise(crowded.mapInArrow(_leaf_links(budget), "a bigint, b bigint"), "links")
+    release(*spent)
+    return links
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 3, leaf_rows: int | None = None) -> DataFrame:
@@ -253,5 +258,5 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     known = materialise(classes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "__rep"), "rooted")
     least = materialise(known.groupBy("root").agg(F.min("__rep").alias("component_id")), "least")
     named = materialise(known.join(least, "root").select(F.col("fp").alias("__fp"), "component_id", F.col("root").alias("component_key")), "named")
-    release(known, least)
+    release(links, classes, roots, known, least)
     return prints.join(named, "__fp").select(id_col, as_hex(F.col("__fp")).alias("fingerprint"), "component_id", "component_key")

@@ -93,3 +93,51 @@ def test_components_of_long_chains(spark):
     edges = edges.union(spark.createDataFrame([(100, 101), (101, 100), (5, 5)], "a bigint, b bigint"))
     got = {r.vertex: r.root for r in connected_components(edges).collect()}
     assert got == {**{i: 0 for i in range(60)}, 100: 100, 101: 100}
+
+
+def test_traversal_alone_finds_every_link():
+    """Trie pairs are opened down to single keys, from the root or from any block, and prune by the budget."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**64, 40, dtype=np.uint64)
+    keys = set(base.tolist())
+    for x in base[:20].tolist():
+        for _ in range(12):
+            y = x
+            for bit in rng.choice(64, rng.integers(1, 6), replace=False):
+                y ^= 1 << int(bit)
+            keys.add(y)
+    keys = np.array(sorted(keys), dtype=np.uint64)
+    for budget in (0, 1, 3, 9):
+        visits = []
+        label = simhash.trie_join(keys, np.array([[0, len(keys), 0, len(keys), 0, 0]]), budget, visits)
+        want = plain_components(keys.tolist(), budget)
+        assert label.tolist() == want and sum(visits) > len(keys) - 1
+    pruned, whole = [], []
+    root = np.array([[0, len(keys), 0, len(keys), 0, 0]])
+    simhash.trie_join(keys, root, 3, pruned)
+    simhash.trie_join(keys, root, 64, whole)
+    assert sum(pruned) < sum(whole)
+
+
+def test_the_traversal_runs_on_whole_tables():
+    """Fingerprints of a table: blocks with several keys are opened further, and links come from there."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    keys = np.array(sorted({simhash.fingerprint_of(t, 3) for t in texts}), dtype=np.uint64)
+    top = keys >> np.uint64(48)
+    start = np.concatenate(([0], np.flatnonzero(top[1:] != top[:-1]) + 1))
+    end = np.append(start[1:], len(keys))
+    pairs = np.stack([start, end, start, end, np.full(len(start), 16), np.zeros(len(start))], axis=1).astype(np.int64)
+    visits = []
+    label = simhash.trie_join(keys, pairs, 3, visits)
+    assert sum(visits) > 0
+    want = np.arange(len(keys))
+    for s, e in zip(start, end):
+        want[s:e] = s + np.array(plain_components(keys[s:e].tolist()))
+    assert label.tolist() == want.tolist()
+
+
+def test_equal_keys_and_nodes_at_full_depth():
+    keys = np.array([5, 5, 5, 9, 9], dtype=np.uint64)
+    assert simhash.trie_join(keys, np.array([[0, 5, 0, 5, 0, 0]]), 0).tolist() == [0, 0, 0, 3, 3]
