@@ -9,31 +9,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from loamwork.llm import langid, mixing, packing, pii, simhash
-from loamwork.llm.common import materialise
+from loamwork.llm.common import fresh, materialise
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language is rejected: no letters, or too narrow a margin."""
-    model = langid.learn(docs)
-    found = docs.withColumn("__found", langid.identify(model, F.col("text")))
-    return found.where(~F.col("__found.rejected")).select(*docs.columns)
+    model, mark = langid.learn(docs), fresh(docs, "__found")
+    found = docs.withColumn(mark, langid.identify(model, F.col("text")))
+    return found.where(~F.col(f"{mark}.rejected")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate component: that with the smallest doc_id.
-
-    Of several rows with that doc_id one stays.  Of a component whose rows have
-    no doc_id one row stays, found by its fingerprint.
+    """Keep one row of each near-duplicate component: that with the smallest doc_id.
+
+    A null doc_id counts as the largest.  Of several rows with the smallest
+    doc_id one stays, the first by fingerprint and hash of the text; of rows
+    that are alike in that too, one.  Rows are told apart by doc_id and text,
+    so an id that several texts share loses none of them to another component.
+    Which rows stay is decided on ids, fingerprints and hashes; texts meet
+    these in one semi-join.
     """
-    found = materialise(simhash.near_duplicates(docs), "components")
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    unnamed = found.where("component_id is null").select(F.col("fingerprint").alias("__print"), F.col("component_key").alias("__key")).distinct()
-    others = docs.where("doc_id is null").withColumn("__print", simhash.as_hex(simhash.fingerprint(F.col("text"))))
-    others = others.join(unnamed, "__print").dropDuplicates(["__key"]).select(*docs.columns)
-    return rows.union(others)
+    h0, h1 = F.xxhash64(F.lit(0), "text"), F.xxhash64(F.lit(1), "text")
+    rows = docs.select("doc_id", "text", F.struct("doc_id", h0.alias("h0"), h1.alias("h1")).alias("row"))
+    found = simhash.near_duplicates(rows, id_col="row")
+    order = F.struct(F.col("row.doc_id").isNull(), "row.doc_id", "fingerprint", "row.h0", "row.h1")
+    kept = found.groupBy("component_key").agg(F.min_by("row", order).alias("row"))
+    copies = found.groupBy("row").agg(F.count("*").alias("copies"))
+    kept = materialise(kept.join(copies, "row").select("row.*", "copies"), "kept")
+
+    def chosen(some: DataFrame) -> DataFrame:
+        some = some.select(F.col("doc_id").alias("i"), F.col("h0").alias("a"), F.col("h1").alias("b"))
+        return docs.join(some, F.col("doc_id").eqNullSafe(F.col("i")) & (h0 == F.col("a")) & (h1 == F.col("b")), "left_semi")
+
+    return chosen(kept.where("copies = 1")).union(chosen(kept.where("copies > 1")).dropDuplicates(["doc_id", "text"]))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
