@@ -79,3 +79,13 @@ def test_run_and_empty_table(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() > 0
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_texts_that_share_an_id_are_kept_apart(spark):
+    rng = random.Random(3)
+    a, b, c = (text(rng, "aa", 80) for _ in range(3))
+    rows = [(3, a, "aa", "s", 1), (5, a, "aa", "s", 1), (5, b, "aa", "s", 1), (7, b, "aa", "s", 1), (None, c, "aa", "s", 1), (None, None, None, None, None), (9, None, None, "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for some in (docs, docs.union(docs)):
+        got = corpus_pipeline.drop_near_duplicates(spark, some, "").collect()
+        assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(3, a), (5, b), (0, c), (9, "")])
