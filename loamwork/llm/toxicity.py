@@ -80,27 +80,41 @@ class ToxicityModel:
     bias: float | None = None
 
 
-def fit(rows: Sequence[tuple[int, Sequence[int], Sequence[Sequence[int]]]], width: int, *, penalty: float, l2: float, steps: int) -> tuple[np.ndarray, float]:
+def differences(own: Sequence[int], others: Sequence[Sequence[int]]) -> tuple[list[int], list[int], list[int]]:
+    """What the counterfactuals change: features, 1 where one is lost and -1 where one is won, and whose they are."""
+    moved, sign, at, mine = [], [], [], set(own)
+    for k, other in enumerate(others):
+        theirs = set(other)
+        for gone, s in ((mine - theirs, 1), (theirs - mine, -1)):
+            moved += sorted(gone)
+            sign += [s] * len(gone)
+            at += [k] * len(gone)
+    return moved, sign, at
+
+
+def fit(y: np.ndarray, own: Sequence[np.ndarray], changes: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray, int]], width: int, *, penalty: float, l2: float, steps: int) -> tuple[np.ndarray, float]:
     """Logistic regression with a squared penalty on score changes between a text and its counterfactuals.
 
-    rows: (label, features, features of each counterfactual), numbered below width.
+    own: each text's features, numbered below width; changes: its differences()
+    and how many counterfactuals it has.  Texts without any take no part in the penalty.
     """
-    y = np.array([r[0] for r in rows], dtype=np.float64)
-    row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    col = np.fromiter((c for r in rows for c in r[1]), dtype=np.int64)
-    changes = [(set(r[1]) - set(c), set(c) - set(r[1])) for r in rows for c in r[2]]
-    at = np.repeat(np.arange(len(changes)), [len(a) + len(b) for a, b in changes])
-    moved = np.fromiter((c for a, b in changes for c in [*a, *b]), dtype=np.int64)
-    sign = np.fromiter((s for a, b in changes for s in [1.0] * len(a) + [-1.0] * len(b)), dtype=np.float64)
+    y = np.asarray(y, dtype=np.float64)
+    row = np.repeat(np.arange(len(y)), [len(x) for x in own])
+    col = np.concatenate([np.zeros(0, dtype=np.int32), *own])
+    first_pair = np.cumsum([0, *(n for *_, n in changes)])
+    n_pairs = int(first_pair[-1])
+    moved = np.concatenate([np.zeros(0, dtype=np.int32), *(m for m, *_ in changes)])
+    sign = np.concatenate([np.zeros(0), *(s.astype(np.float64) for _, s, *_ in changes)])
+    at = np.concatenate([np.zeros(0, dtype=np.int64), *(a + f for (_, _, a, _), f in zip(changes, first_pair, strict=False))])
     w, b = np.zeros(width), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     first, second = np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, steps + 1):
-        z = np.bincount(row, w[col], len(rows)) + b
+        z = np.bincount(row, w[col], len(y)) + b
         error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        grad = np.bincount(col, error[row], width) / len(rows) + l2 * w
-        if len(changes):
-            gap = np.bincount(at, sign * w[moved], len(changes))
-            grad += 2 * penalty / len(changes) * np.bincount(moved, sign * gap[at], width)
+        grad = np.bincount(col, error[row], width) / len(y) + l2 * w
+        if n_pairs:
+            gap = np.bincount(at, sign * w[moved], n_pairs)
+            grad += 2 * penalty / n_pairs * np.bincount(moved, sign * gap[at], width)
         grad = np.append(grad, error.mean())
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad * grad
@@ -114,8 +128,12 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     About *sample_rows* labelled ids are drawn by a hash; their texts are the
     only ones read closely, and of their hashed features the *kept* ones that
-    part the labels best (and those of identity terms) get weights.  So what
-    the driver gathers is bounded by these parameters at every input size.  Of
+    part the labels best (and those of identity terms) get weights.  The driver
+    gets, per sampled text, the numbers of its kept features (at most *kept* and
+    those of identity terms, 4 bytes each) and what its counterfactuals change
+    of them, which only identity terms do: a bound by these parameters at every
+    input size.  Features are counts of words, so identity terms are swapped in
+    the counts, which gives what swapping them in the sentences would.  Of
     several labels of an id the largest counts; null labels and texts teach
     nothing.  Without labels of both kinds the model is empty.
     """
@@ -146,20 +164,29 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     chosen = sorted({r["b"] for r in best} | {bucket(f, s, dims) for g in IDENTITY_TERMS for t in g for f in parts(t) for s in STEPS})
     number = {b: k for k, b in enumerate(chosen)}
 
+    kinds = {"y": pa.int32(), "own": pa.binary(), "moved": pa.binary(), "sign": pa.binary(), "at": pa.binary(), "n": pa.int32()}
+
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pick(words: Counter) -> list[int]:
+            return sorted(number[b] for b in features(words, dims) if b in number)
+
         for batch in batches:
-            out = []
+            out: list[tuple] = []
             for text, y in zip(batch.column(1), batch.column(2), strict=True):
                 words = Counter(WORDS.findall(text.as_py().lower()))
-                pick = lambda c: sorted(number[b] for b in features(c, dims) if b in number)
-                out.append((min(1, max(0, y.as_py())), pick(words), [pick(c) for c in counterfactuals(words)]))
-            cols = list(zip(*out, strict=True)) if out else [[], [], []]
-            kinds = (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=["y", "own", "other"])
-
-    rows = sample.mapInArrow(rows_of, "y int, own array<int>, other array<array<int>>").collect()
-    rows = sorted((r["y"], r["own"], r["other"]) for r in rows)
-    weights, bias = fit(rows, len(chosen), penalty=penalty, l2=l2, steps=steps)
+                own = pick(words)
+                others = [pick(c) for c in counterfactuals(words)]
+                moved, sign, at = differences(own, others)
+                packed = [np.array(x, dtype=t).tobytes() for x, t in ((own, "<i4"), (moved, "<i4"), (sign, "i1"), (at, "<i4"))]
+                out.append((min(1, max(0, y.as_py())), *packed, len(others)))
+            cols = list(zip(*out, strict=True)) if out else [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds.values(), strict=True)], names=list(kinds))
+
+    rows = sample.mapInArrow(rows_of, "y int, own binary, moved binary, sign binary, at binary, n int").collect()
+    rows = sorted((r["y"], bytes(r["own"]), bytes(r["moved"]), bytes(r["sign"]), bytes(r["at"]), r["n"]) for r in rows)
+    own = [np.frombuffer(r[1], dtype="<i4") for r in rows]
+    changes = [(np.frombuffer(r[2], dtype="<i4"), np.frombuffer(r[3], dtype="i1"), np.frombuffer(r[4], dtype="<i4"), r[5]) for r in rows]
+    weights, bias = fit(np.array([r[0] for r in rows]), own, changes, len(chosen), penalty=penalty, l2=l2, steps=steps)
     return ToxicityModel(dims, {b: float(w) for b, w in zip(chosen, weights, strict=True) if w}, bias)
 
 

@@ -78,3 +78,39 @@ def test_odd_rows_and_missing_labels(spark, tables):
     assert toxicity.learn(docs.limit(0), labels).bias is None
     doubled = labels.union(labels).union(spark.createDataFrame([(None, 1), (5, None)], "doc_id bigint, toxic int"))
     assert toxicity.learn(docs, doubled).weights == model.weights
+
+
+def test_differences_hold_what_a_swap_changes():
+    moved, sign, at = toxicity.differences([3, 5, 9], [[3, 7], [3, 5, 9], [1, 3, 5, 9]])
+    assert (moved, sign, at) == ([5, 9, 7, 1], [1, 1, -1, -1], [0, 0, 0, 2])
+
+
+def plain_fit(y, own, others, width, penalty, l2, steps):
+    """The same steps with dense rows, text by text."""
+    import numpy as np
+
+    dense = lambda x: np.bincount(x, minlength=width).astype(float)
+    x, gaps = np.array([dense(o) for o in own]), [dense(o) - dense(c) for o, cs in zip(own, others) for c in cs]
+    w, b = np.zeros(width), float(np.log((np.mean(y) + 1e-6) / (1 - np.mean(y) + 1e-6)))
+    m, v = np.zeros(width + 1), np.zeros(width + 1)
+    for t in range(1, steps + 1):
+        error = 1 / (1 + np.exp(-(x @ w + b))) - y
+        grad = x.T @ error / len(y) + l2 * w + sum(2 * penalty / len(gaps) * g * (g @ w) for g in gaps)
+        grad = np.append(grad, error.mean())
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
+        move = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        w, b = w - move[:-1], b - move[-1]
+    return w, b
+
+
+def test_the_fit_matches_a_plain_one():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    own = [sorted(set(rng.integers(0, 12, 5).tolist())) for _ in range(30)]
+    others = [[sorted(set(rng.integers(0, 12, 5).tolist())) for _ in range(rng.integers(0, 3))] for _ in own]
+    y = rng.integers(0, 2, 30)
+    changes = [(*(np.array(x, dtype=int) for x in toxicity.differences(o, cs)), len(cs)) for o, cs in zip(own, others)]
+    w, b = toxicity.fit(y, [np.array(o) for o in own], changes, 12, penalty=2.0, l2=1e-3, steps=40)
+    want, bias = plain_fit(y, own, others, 12, 2.0, 1e-3, 40)
+    assert np.allclose(w, want) and abs(b - bias) < 1e-9
