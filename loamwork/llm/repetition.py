@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,38 +15,93 @@ from .common import small_batches
 
 #: Words whose suffixes are sorted at once; a longer text is sorted by itself.
 CHUNK_WORDS = 60_000
+#: The words of a longer text are numbered one by one, without a list of them.
+LONG_BYTES = 4 << 20
+WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def longest_repeats(ids: np.ndarray) -> np.ndarray:
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """Ranks of the keys among the distinct ones, from 1."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    steps = np.empty(len(keys), dtype=np.int64)
+    steps[0] = 1
+    np.not_equal(keys[1:], keys[:-1], out=steps[1:], casting="unsafe")
+    np.cumsum(steps, out=steps)
+    out = np.empty_like(steps)
+    out[order] = steps
+    return out
+
+
+def _common_by_levels(levels: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Words that the suffixes i and j have in common: where the ranks of a doubling agree, that many more words do."""
+    i, j, n = i.copy(), j.copy(), len(levels[0])
+    common = np.zeros(len(i), dtype=np.int64)
+    for k in reversed(range(len(levels))):
+        inside = (i < n) & (j < n)
+        same = np.zeros(len(i), dtype=bool)
+        same[inside] = levels[k][i[inside]] == levels[k][j[inside]]
+        grow = same.astype(np.int64) << k
+        common += grow
+        i += grow
+        j += grow
+    return common
+
+
+def _common_in_text_order(ids: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
+    """The same of neighbours in the suffix array, in the order of the text and without any further table.
+
+    A suffix shares with its neighbour at most one word less than the suffix
+    before it did with its own, so the words are compared about twice each.
+    """
+    n = len(ids)
+    before = np.full(n, -1, dtype=np.int64)
+    before[suffixes[1:]] = suffixes[:-1]
+    words, other, out = memoryview(np.ascontiguousarray(ids)), memoryview(before), np.zeros(n, dtype=np.int64)
+    found, h = memoryview(out), 0
+    for i in range(n):
+        j = other[i]
+        if j < 0:
+            h = 0
+            continue
+        most = n - max(i, j)
+        while h < most and words[i + h] == words[j + h]:
+            h += 1
+        found[i] = h
+        if h:
+            h -= 1
+    return out[suffixes[1:]]
+
+
+def longest_repeats(ids: np.ndarray, most_levels_words: int = CHUNK_WORDS) -> np.ndarray:
     """Per position the length of the longest substring from there that stands elsewhere, too.
 
-    The suffixes are ranked by prefix doubling, and the ranks of each doubling
-    are kept.  Neighbours in the suffix array are compared by halving: where
-    the ranks of a doubling agree, that many more words agree.
+    The suffixes are ranked by prefix doubling.  Neighbours in the suffix array
+    are then compared by the ranks of all doublings, which are kept up to
+    *most_levels_words* words; beyond, to bound the memory, word by word in the
+    order of the text, which gives the same.
     """
     n = len(ids)
     if n < 2:
         return np.zeros(n, dtype=np.int64)
-    rank = np.unique(ids, return_inverse=True)[1].astype(np.int64) + 1
+    rank = _ranks(ids)
     levels, step = [rank], 1
     while rank.max() < n:
-        after = np.zeros(n, dtype=np.int64)
-        after[: n - step] = rank[step:] if step < n else 0
-        rank = np.unique(rank * (n + 1) + after, return_inverse=True)[1].astype(np.int64) + 1
-        levels.append(rank)
+        pair = rank * (n + 1)
+        if step < n:
+            pair[: n - step] += rank[step:]
+        rank = _ranks(pair)
+        del pair
+        if n <= most_levels_words:
+            levels.append(rank)
         step *= 2
     suffixes = np.empty(n, dtype=np.int64)
     suffixes[rank - 1] = np.arange(n)
-    i, j = suffixes[:-1].copy(), suffixes[1:].copy()
-    common = np.zeros(n - 1, dtype=np.int64)
-    for k in reversed(range(len(levels))):
-        inside = (i < n) & (j < n)
-        same = np.zeros(n - 1, dtype=bool)
-        same[inside] = levels[k][i[inside]] == levels[k][j[inside]]
-        grow = same.astype(np.int64) << k
-        common += grow
-        i += grow
-        j += grow
+    if n <= most_levels_words:
+        common = _common_by_levels(levels, suffixes[:-1], suffixes[1:])
+    else:
+        del rank, levels
+        common = _common_in_text_order(ids, suffixes)
     out = np.zeros(n, dtype=np.int64)
     out[suffixes[:-1]] = common
     out[suffixes[1:]] = np.maximum(out[suffixes[1:]], common)
@@ -83,36 +139,47 @@ def _line_repeats(text: str) -> int:
     return n
 
 
+def number_words(text: str | None) -> np.ndarray:
+    """The words of a text as numbers from 0, in order of their first places."""
+    data, numbers = (text or "").encode("utf-8", "surrogatepass"), {}
+    words = data.split() if len(data) <= LONG_BYTES else (m.group() for m in WORDS.finditer(data))
+    return np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), dtype=np.int64)
+
+
 def measure_all(texts: list[str | None], least: int, base_width: int) -> pd.DataFrame:
     """The figures of many texts; words get numbers of their own in each text, so repeats never cross texts."""
-    words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
     rows: list[tuple] = []
-    start = 0
-    while start < len(words):
-        stop, total = start, 0
-        while stop < len(words) and (stop == start or total + len(words[stop]) <= CHUNK_WORDS):
-            total += len(words[stop])
-            stop += 1
-        ids, base = np.empty(total, dtype=np.int64), 0
-        at = 0
-        for own in words[start:stop]:
-            numbers: dict[bytes, int] = {}
-            ids[at : at + len(own)] = [numbers.setdefault(w, base + len(numbers)) for w in own]
-            base += len(numbers)
+    held: list[tuple[str, np.ndarray]] = []
+
+    def measure_held() -> None:
+        ids, base, at = np.empty(sum(len(own) for _, own in held), dtype=np.int64), 0, 0
+        for _, own in held:
+            ids[at : at + len(own)] = own + base
+            base += int(own.max(initial=-1)) + 1
             at += len(own)
         repeats = longest_repeats(ids)
         base_cover, cover = covered(repeats, base_width), covered(repeats, least)
         at = 0
-        for k in range(start, stop):
-            n, text = len(words[k]), texts[k] or ""
-            own = slice(at, at + n)
+        for text, numbers in held:
+            n, own = len(numbers), slice(at, at + len(numbers))
             white = sum(map(text.count, " \t\n\v\f\r"))
             rows.append((
                 n, len(text) - white, sum(map(text.count, "#*$%&|<>")), _line_repeats(text), int(base_cover[own].sum()),
                 float(cover[own].mean()) if n else 0.0, int(repeats[own].max()) if n else 0, len(maximal_spans(repeats[own], least)),
             ))
             at += n
-        start = stop
+        held.clear()
+
+    total = 0
+    for text in texts:
+        own = number_words(text)
+        if held and total + len(own) > CHUNK_WORDS:
+            measure_held()
+            total = 0
+        held.append((text or "", own))
+        total += len(own)
+    if held:
+        measure_held()
     return pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered", "longest_repeat", "n_repeats"])
 
 

@@ -25,7 +25,9 @@ def plain_repeats(ids):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=40))
 def test_longest_repeats(ids):
-    assert repetition.longest_repeats(np.array(ids, dtype=np.int64)).tolist() == plain_repeats(ids)
+    want = plain_repeats(ids)
+    assert repetition.longest_repeats(np.array(ids, dtype=np.int64)).tolist() == want
+    assert repetition.longest_repeats(np.array(ids, dtype=np.int64), 0).tolist() == want
 
 
 def plain(text):
@@ -78,3 +80,28 @@ def test_very_long_text_and_empty_table(spark):
     assert got[1].longest_repeat == 299_999 and got[1].base_failed and not got[1].kept
     assert got[2].longest_repeat == 0 and got[2].kept
     assert repetition.judge(docs.limit(0)).count() == 0
+
+
+def test_memory_of_a_text_of_equal_words():
+    """Three million equal words, and as many that repeat in turn, stay far below an executor's memory."""
+    import subprocess
+    import sys
+
+    code = """
+import resource
+from loamwork.llm import repetition
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for text in ("w " * 3_000_000, "one two three " * 1_000_000):
+    (row,) = repetition.measure_all([text], 5, 3).itertuples(index=False)
+    assert row.n_words == row.n_repeat_words == 3_000_000 and row.longest_repeat in (2_999_999, 2_999_997), row
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True)
+    assert int(out.stdout) < 600
+
+
+def test_long_texts_are_numbered_alike(monkeypatch):
+    text = "a b\x0ba\x0cc\r\nb  a\tc ü ü"
+    want = repetition.number_words(text).tolist()
+    monkeypatch.setattr(repetition, "LONG_BYTES", 0)
+    assert repetition.number_words(text).tolist() == want == [0, 1, 0, 2, 1, 0, 2, 3, 3]
