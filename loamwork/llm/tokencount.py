@@ -15,6 +15,8 @@ from .common import small_batches
 
 #: A trie of more nodes is dropped and begun anew, which bounds a task's memory.
 MAX_NODES = 1_500_000
+#: A longer pre-token makes no nodes: it shares its whole prefix with hardly any other.
+LONG_WORD = 10_000
 
 
 class Vocabulary:
@@ -66,6 +68,8 @@ class PreTokenTrie:
         found = self.terminal.get(word)
         if found is not None:
             return found
+        if len(word) > LONG_WORD:
+            return self.count_alone(word)
         if len(self.child) + len(self.terminal) > self.max_nodes:
             self._new()
         child, best, tokens = self.child, self.best, self.tokens
@@ -92,6 +96,25 @@ class PreTokenTrie:
         self.terminal[word] = tokens[node]
         return tokens[node]
 
+    def count_alone(self, word: str) -> int:
+        """Tokens of a pre-token, by the same forward scores in a ring of the last cells only."""
+        score, longest = self.vocabulary.score, self.vocabulary.longest
+        ring = longest + 1
+        best, tokens = [0.0] * ring, [0] * ring
+        for end, char in enumerate(word, 1):
+            cost, n = (score[char], 1) if char in score else self.vocabulary.fallback(char)
+            before = (end - 1) % ring
+            top, count = best[before] + cost, tokens[before] + n
+            for start in range(max(0, end - longest), end - 1):
+                own = score.get(word[start:end])
+                if own is not None:
+                    at = start % ring
+                    own += best[at]
+                    if own > top or own == top and tokens[at] + 1 < count:
+                        top, count = own, tokens[at] + 1
+            best[end % ring], tokens[end % ring] = top, count
+        return tokens[len(word) % ring]
+
 
 def pre_tokens(text: str) -> list[str]:
     """Words between white space, each with the mark of a word's start."""
@@ -120,7 +143,8 @@ def token_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """Token counts of every whole text, one row per input row.
 
     Each task inserts the distinct pre-tokens of its rows into one trie; no row
-    is shuffled.  A null or empty text has no tokens; repeated rows and null
+    is shuffled.  A pre-token of more than LONG_WORD characters is scored by the
+    same recurrence without nodes.  A null or empty text has no tokens; repeated rows and null
     ids stay; an empty table gives an empty table; other columns are ignored.
     """
     found = docs.select(F.col(id_col), count_tokens(F.col(text_col), vocabulary, max_nodes).alias("__n"))

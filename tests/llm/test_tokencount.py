@@ -51,3 +51,31 @@ def test_prefixes_are_shared_and_the_bound_changes_nothing(vocabulary):
 
 def test_empty_table(spark):
     assert tokencount.token_counts(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_a_long_pre_token_is_scored_alike_without_nodes(vocabulary, monkeypatch):
+    rng = random.Random(9)
+    words = ["▁" + "".join(rng.choice(["the", "ing", "é", "heit", "ñ", "x", "日", "aa"]) for _ in range(rng.randint(1, 80))) for _ in range(60)]
+    trie = tokencount.PreTokenTrie(vocabulary)
+    want = [trie.count(w) for w in words]
+    assert want[:5] == [plain_count(w, vocabulary) for w in words[:5]]
+    monkeypatch.setattr(tokencount, "LONG_WORD", 0)
+    alone = tokencount.PreTokenTrie(vocabulary)
+    assert [alone.count(w) for w in words] == want and len(alone.child) == 1
+
+
+def test_memory_of_a_very_long_pre_token():
+    import subprocess
+    import sys
+
+    code = """
+import resource
+from loamwork.llm import tokencount
+trie = tokencount.PreTokenTrie(tokencount.Vocabulary())
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert trie.count("QWxhZGRpbjpvcGVuIHNlc2FtZQ" * 80_000) > 100_000
+assert len(trie.child) == 1
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True)
+    assert int(out.stdout) < 50
