@@ -33,18 +33,20 @@ def normalise(text: str) -> str:
     return re.sub(r"[\W\d_]+", " ", text.lower()).strip()
 
 
-def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 400, piece_chars: int = 2000, dictionary_bytes: int = 65536, seed: int = 11) -> LanguageModel:
+def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 400, piece_chars: int = 2000, dictionary_bytes: int = 65536, max_languages: int = 100, seed: int = 11) -> LanguageModel:
     """Dictionaries from labelled rows that are not held out.
 
     About *docs_per_language* rows of each language are chosen by a hash of
     their id, and a hash-chosen piece of at most *piece_chars* characters of
-    each makes up the dictionary: these bounds hold at every input size.  Only
-    the rates are taken from counts over all rows.  Rows with a null id, text
+    each makes up the dictionary; the *max_languages* labels with the most rows
+    are learnt, so that stray labels cannot fill the driver.  These bounds hold
+    at every input size.  Only the rates are taken from counts over all rows.  Rows with a null id, text
     or label teach nothing; no labelled row gives an empty model.
     """
     docs = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
     rows = docs.where(trainable(F.col("i")) & F.col("l").isNotNull())
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    most = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_languages)
+    counts = {r["l"]: r["n"] for r in most.collect()}
     if not counts:
         return LanguageModel()
     rates = rows.sparkSession.createDataFrame([(k, min(1.0, docs_per_language / n)) for k, n in counts.items()], "l string, rate double")
@@ -125,5 +127,5 @@ def identify(model: LanguageModel, text: Column, min_margin: float = 0.01) -> Co
 
 def predict(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.01) -> DataFrame:
     """One row per input row: id, lang_pred, score, rejected.  See identify()."""
-    found = docs.select(F.col(id_col), identify(model, F.col(text_col), min_margin).alias("__found"))
-    return found.select(id_col, "__found.*")
+    found = docs.select(F.col(id_col), identify(model, F.col(text_col), min_margin).alias("found"))
+    return found.select(id_col, "found.*")

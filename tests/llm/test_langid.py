@@ -57,3 +57,41 @@ def test_a_mixture_is_rejected(docs):
     mixed = text(rng, "aa", 150) + " " + text(rng, "bb", 150)
     clean = text(rng, "aa", 300)
     assert scorer.best(clean)[1] > 2 * scorer.best(mixed)[1]
+
+
+def test_the_number_of_languages_is_bounded(spark, docs):
+    stray = docs.union(spark.range(300).selectExpr("id + 1000", "concat('word', id)", "concat('x', id)"))
+    assert set(langid.learn(stray, max_languages=3).dictionaries) == {"aa", "bb", "cc"}
+
+
+def plain_best(text, dictionaries):
+    """zstandard called by hand: blocks of 4096 bytes, short ones behind 256 bytes of the dictionary."""
+    import re
+
+    import zstandard
+
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    data = re.sub(r"[\W\d_]+", " ", text.lower()).strip().encode()
+    sizes = []
+    for name, blob in dictionaries.items():
+        def size(b, blob=blob):
+            own = zstandard.ZstdCompressionDict(blob, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            return len(zstandard.ZstdCompressor(level=12, dict_data=own, write_content_size=False).compress(b))
+
+        head = blob[:256] + b" "
+        blocks = [data[i : i + 4096] for i in range(0, len(data), 4096)]
+        sizes.append((sum(size(b) if len(b) >= 512 else size(head + b) - size(head) for b in blocks), name))
+    (first, name), (second, _) = sorted(sizes, key=lambda s: s[0])[:2]
+    return name, (second - first) / second
+
+
+def test_predictions_match_compression_by_hand(spark, docs):
+    model = langid.learn(docs)
+    rng = random.Random(4)
+    texts = [text(rng, rng.choice(["aa", "bb", "cc"]), rng.randint(1, 2500)) for _ in range(25)] + [None, "", "7 %", "the"]
+    texts += [text(rng, "aa", 200) + " " + text(rng, "bb", 200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    for r in langid.predict(rows, model).collect():
+        name, score = plain_best(texts[r.doc_id], model.dictionaries)
+        assert (r.lang_pred, r.rejected) == (name, name == "und" or score < 0.01) and abs(r.score - max(0.0, score)) < 1e-12
