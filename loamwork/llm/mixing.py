@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, parallelism
+from .common import fresh, materialise, parallelism
 
 #: A rate above this is drawn as a sum of equal smaller ones, for exp(-rate) must stay above 0.
 LARGEST = 500
@@ -67,24 +67,26 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     spark = docs.sparkSession
     rates = source_rates(docs, source_col=source_col, weights=weights, temperature=temperature, total=total)
     kept = [c for c in docs.columns if c not in ("copy", "rate", "shuffle_key")]
-    rates = rates.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
+    source, rate, parts, cdf, u, n = (fresh(docs, f"__{name}") for name in ("source", "rate", "parts", "cdf", "u", "n"))
+    rates = rates.select(F.col("source").alias(source), F.col("rate").alias(rate), F.col("parts").alias(parts), F.col("cdf").alias(cdf))
     if rates.count() <= FEW_SOURCES:
         rates = F.broadcast(rates)
-    own = F.sha2(F.to_json(F.struct(*(F.col(c) for c in kept if c != id_col), F.lit(1).alias("__one"))), 256)
+    others = [F.col(c) for c in kept if c != id_col]
+    own = F.sha2(F.to_json(F.struct(*others, F.lit(1).alias(fresh(docs, "__one")))), 256)
     key = F.coalesce(F.col(id_col).cast("string"), own)
 
     def draw(part):
         digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key, part.cast("string"))), 1, 13)
         return F.conv(digits, 16, 10).cast("double") / float(1 << 52)
 
-    one = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
-    many = F.aggregate(F.sequence(F.lit(0), F.col("__parts") - 1), F.lit(0), lambda a, k: a + F.size(F.filter("__cdf", lambda c: c <= draw(k))))
-    rows = docs.select(*kept).join(rates, F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
-    rows = rows.withColumn("__u", draw(F.lit(0))).withColumn("__n", F.when(F.col("__parts") == 1, one).otherwise(many))
-    rows = rows.where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    one = F.size(F.filter(cdf, lambda c: c <= F.col(u)))
+    many = F.aggregate(F.sequence(F.lit(0), F.col(parts) - 1), F.lit(0), lambda a, k: a + F.size(F.filter(cdf, lambda c: c <= draw(k))))
+    rows = docs.select(*kept).join(rates, F.col(source_col).cast("string").eqNullSafe(F.col(source)))
+    rows = rows.withColumn(u, draw(F.lit(0))).withColumn(n, F.when(F.col(parts) == 1, one).otherwise(many))
+    rows = rows.where(F.col(n) > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(n))))
     mixed = F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), key, F.col("copy").cast("string")))
     rows = rows.withColumn("shuffle_key", F.conv(F.substring(mixed, 1, 15), 16, 10).cast("bigint"))
-    rows = rows.select(*kept, "copy", F.round("__rate", 6).alias("rate"), "shuffle_key")
+    rows = rows.select(*kept, "copy", F.round(rate, 6).alias("rate"), "shuffle_key")
     return rows.repartition(parallelism(spark), "shuffle_key").sortWithinPartitions("shuffle_key")
 
 
