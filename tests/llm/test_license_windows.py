@@ -31,10 +31,19 @@ def test_wrapped_notices_are_found(spark):
     texts += [" ".join(rng.choice(pool) for _ in range(rng.randint(1, 150))) for _ in range(30)] + ["", "under the license it is released"]
     texts += ["released " + "zz " * 400 + "under the " + "zz " * 400 + "license"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
-    got = {r.doc_id: r for r in licenses.scan(docs, phrases={}, windows=True).collect()}
+    got = {r.doc_id: r for r in licenses.scan(docs, phrases={}).collect()}
     for k, (label, _) in enumerate(cases):
         assert label in got[2 * k].labels.split(",") and label in got[2 * k + 1].labels.split(",")
     for i, t in enumerate(texts):
         labels, best, n = plain(t)
         assert (got[i].labels, got[i].score, got[i].n_blocks) == (",".join(sorted(labels)), best, n), t
     assert got[len(texts) - 1].labels == got[len(texts) - 2].labels == ""
+
+
+def test_phrases_given_are_found_whatever_their_words(spark):
+    rows = [(1, "It was Released into\nthe PUBLIC domain. public-domain domain public"), (2, "publi\u212a domain"), (3, "p\u00c9 \u00c9p"), (4, "p\u00e9 a"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_base, r.first_word, r.last_word, r.labels) for r in licenses.scan(docs, phrases={"Public Domain": "pd", "domain": "d"}, templates={}).collect()}
+    assert got == {1: (5, 5, 9, "d,pd"), 2: (1, 1, 1, "d"), 3: (0, None, None, ""), 4: (0, None, None, ""), 5: (0, None, None, "")}
+    got = {r.doc_id: r.n_base for r in licenses.scan(docs, phrases={"p\u00c9": "e", "public domain": "k"}, templates={"x": ["p\u00e9 a"]}).collect()}
+    assert got == {1: 2, 2: 0, 3: 1, 4: 0, 5: 0}
