@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise, parallelism, release
 from .graph import connected_components, merge_labels
@@ -17,6 +18,8 @@ from .graph import connected_components, merge_labels
 PAIRS_AT_ONCE = 20_000
 #: Bits of a cell number for each of a block's coordinates.
 CELL_BITS = 7
+#: A coordinate of a turned unit vector is kept as so many steps, in 16 bits.
+STEPS = 32767
 
 
 def rotate(unit: np.ndarray, blocks: int, seed: int = 17) -> np.ndarray:
@@ -44,7 +47,7 @@ def rotate(unit: np.ndarray, blocks: int, seed: int = 17) -> np.ndarray:
     return out.reshape(n, blocks, size // blocks)
 
 
-def unit_rows(vectors: list) -> np.ndarray:
+def unit_rows(vectors: list | np.ndarray) -> np.ndarray:
     """Vectors of one length in double precision, scaled to norm 1."""
     x = np.array(vectors, dtype=np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -56,6 +59,41 @@ def block_budget(threshold: float, blocks: int) -> float:
     return (2.0 - 2.0 * threshold) / blocks * (1 + 1e-9) + 1e-12
 
 
+def rounding(coordinates: int) -> float:
+    """How far rounding to steps can move a point of so many coordinates."""
+    return 0.5 / STEPS * coordinates**0.5 * (1 + 1e-6) + 1e-9
+
+
+def step_budget(threshold: float, blocks: int, size: int) -> float:
+    """The block budget between rounded points, as a squared distance in steps."""
+    return (STEPS * (block_budget(threshold, blocks) ** 0.5 + 2 * rounding(size // blocks))) ** 2
+
+
+def sketches(vec: Column, blocks: int) -> Column:
+    """Turned unit vectors with coordinates rounded to 1 / STEPS, as little-endian 16-bit numbers."""
+
+    @F.arrow_udf(T.BinaryType())
+    def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for vectors in batches:
+            lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
+            out = np.empty(len(vectors), dtype=object)
+            for n in np.unique(lengths):
+                at = np.flatnonzero(lengths == n)
+                for lo in range(0, len(at), 2000):
+                    some = at[lo : lo + 2000]
+                    raw = vectors.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(some), int(n))
+                    steps = np.rint(rotate(unit_rows(raw), blocks) * STEPS).astype("<i2").reshape(len(some), -1)
+                    out[some] = [row.tobytes() for row in steps]
+            yield pa.array(out, type=pa.binary())
+
+    return udf(vec)
+
+
+def turned_back(sketch: pd.Series, blocks: int) -> np.ndarray:
+    """Sketches of one length as whole numbers of steps: (n, blocks, coordinates)."""
+    return np.frombuffer(b"".join(sketch), dtype="<i2").reshape(len(sketch), blocks, -1).astype(np.float64)
+
+
 def cells(block: np.ndarray, dims: np.ndarray, radius: float, side: float) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """Grid cells of one block's points: (row numbers, cell numbers, role).
 
@@ -87,25 +125,30 @@ def cells(block: np.ndarray, dims: np.ndarray, radius: float, side: float) -> It
         yield at[rows[later]], home[rows[later]] + shift[later], 1
 
 
-def leaf_links(unit: np.ndarray, raw: np.ndarray, copies: np.ndarray, role: np.ndarray, side: np.ndarray, alone: bool, b: int, blocks: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Link counts and labels of the points of one cell.
+def leaf_links(turned: np.ndarray, copies: np.ndarray, role: np.ndarray, side: np.ndarray, alone: bool, b: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Link counts and labels of the points of one cell, and the pairs that rounding leaves open.
 
     A pair is compared if one point lives here and the other lives or visits
     here; in a cell dealt out in chunks, if they come from different ones.  It
-    counts in the first block whose squared distance is within the budget.
+    counts in the first block whose squared distance is within the budget.  All
+    sums are of whole numbers of steps and exact, so every task decides alike.
+    A pair is a link, or none, if it is so wherever rounding moved its points
+    from; what lies nearer to the threshold is left open.
     """
-    n, budget = len(unit), block_budget(threshold, blocks)
-    turned = rotate(unit, blocks)
+    n, blocks, width = turned.shape
+    size = blocks * width
+    budget, most = step_budget(threshold, blocks, size), (2.0 - 2.0 * threshold) ** 0.5
+    apart = 2 * rounding(size)
+    sure, never = (STEPS * max(0.0, most - apart)) ** 2, (STEPS * (most + apart)) ** 2
     own = turned[:, b]
     square = (own * own).sum(axis=1)
-    links, label = np.zeros(n, dtype=np.int64), np.arange(n)
-    norm = np.sqrt(np.einsum("ij,ij->i", raw, raw))
+    links, label, still = np.zeros(n, dtype=np.int64), np.arange(n), []
     homes = np.flatnonzero(role == 0)
     step = max(1, 4_000_000 // max(1, n))
     for lo in range(0, len(homes), step):
         some = homes[lo : lo + step]
         far = square[some, None] + square[None, :] - 2 * own[some] @ own.T
-        near = far <= budget * (1 + 1e-6) + 1e-9
+        near = far <= budget
         near &= (role == 1)[None, :] | (np.arange(n)[None, :] > some[:, None])
         if not alone:
             near &= side[some, None] != side[None, :]
@@ -114,56 +157,58 @@ def leaf_links(unit: np.ndarray, raw: np.ndarray, copies: np.ndarray, role: np.n
         for at in range(0, len(left), PAIRS_AT_ONCE):
             i, j = left[at : at + PAIRS_AT_ONCE], right[at : at + PAIRS_AT_ONCE]
             gap = turned[i] - turned[j]
-            within = (gap * gap).sum(axis=2) <= budget
-            first = within[:, b] & ~within[:, :b].any(axis=1)
-            i, j = i[first], j[first]
-            hit = np.einsum("ij,ij->i", raw[i], raw[j]) / (norm[i] * norm[j]) >= threshold
+            square_gap = (gap * gap).sum(axis=2)
+            first = ~(square_gap[:, :b] <= budget).any(axis=1)
+            i, j, whole = i[first], j[first], square_gap[first].sum(axis=1)
+            open_pairs = (whole > sure) & (whole <= never)
+            still.append(np.stack([i[open_pairs], j[open_pairs]], axis=1))
+            hit = whole <= sure
             i, j = i[hit], j[hit]
             np.add.at(links, i, copies[j])
             np.add.at(links, j, copies[i])
             merge_labels(label, i, j)
-    return links, label
+    return links, label, np.concatenate([np.zeros((0, 2), dtype=np.int64), *still])
 
 
 _CELL = ["grp", "b", "cell", "c0", "c1"]
 
 
-def _deal(blocks: int, threshold: float, with_vectors: bool):
-    """Rows (grp, b, cell, role, cid[, copies, vec]) of every point, for each block."""
-    radius = block_budget(threshold, blocks) ** 0.5
-    side = max(2.5 * radius, 1.0 / ((1 << CELL_BITS - 1) - 2))
+def _deal(blocks: int, threshold: float, with_points: bool):
+    """Rows (grp, b, cell, role, cid[, copies, sketch]) of every point, for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = batch.to_pandas()
-            for _, own in t.groupby("dim", sort=False):
-                turned = rotate(unit_rows(own["vec"].tolist()), blocks)
+            for size, own in t.groupby(t["sketch"].str.len() // 2, sort=False):
+                radius = step_budget(threshold, blocks, int(size)) ** 0.5 / STEPS
+                side = max(2.5 * radius, 1.0 / ((1 << CELL_BITS - 1) - 2))
+                turned = turned_back(own["sketch"], blocks) / STEPS
                 grp, cid = own["grp"].to_numpy(), own["cid"].to_numpy()
                 for b in range(blocks):
                     for at, cell, role in cells(turned[:, b], own["k"].to_numpy(), radius, side):
                         for lo in range(0, len(at), 20_000):
                             rows, place = at[lo : lo + 20_000], cell[lo : lo + 20_000]
                             out = {"grp": grp[rows], "b": np.full(len(rows), b, dtype=np.int32), "cell": place, "role": np.full(len(rows), role, dtype=np.int32), "cid": cid[rows]}
-                            if with_vectors:
-                                out |= {"copies": own["copies"].to_numpy()[rows], "vec": own["vec"].iloc[rows].tolist()}
-                            types = {"vec": batch.schema.field("vec").type} if with_vectors else {}
+                            if with_points:
+                                out |= {"copies": own["copies"].to_numpy()[rows], "sketch": own["sketch"].to_numpy()[rows]}
+                            types = {"sketch": pa.binary()}
                             yield pa.RecordBatch.from_arrays([pa.array(v, type=types.get(k)) for k, v in out.items()], names=list(out))
 
     return run
 
 
 def _join(blocks: int, threshold: float):
+    """Rows (a, b, n): n links of a; or a and b in one class, n = 0; or a pair left open, n null."""
+
     def links(t: pd.DataFrame) -> pa.RecordBatch:
-        unit, raw = unit_rows(t["vec"].tolist()), np.array(t["vec"].tolist(), dtype=np.float64)
-        raw = raw / np.abs(raw).max(axis=1, keepdims=True)
         cid = t["cid"].to_numpy()
         alone = bool(t["c0"].iloc[0] == t["c1"].iloc[0])
-        found, label = leaf_links(unit, raw, t["copies"].to_numpy(), t["role"].to_numpy(), t["side"].to_numpy(), alone, int(t["b"].iloc[0]), blocks, threshold)
+        found, label, still = leaf_links(turned_back(t["sketch"], blocks), t["copies"].to_numpy(), t["role"].to_numpy(), t["side"].to_numpy(), alone, int(t["b"].iloc[0]), threshold)
         some, joined = np.flatnonzero(found), np.flatnonzero(label != np.arange(len(t)))
-        a = np.concatenate([cid[some], cid[joined]])
-        n = np.concatenate([found[some], np.zeros(len(joined), dtype=np.int64)])
-        other = pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(cid[label[joined]], type=pa.int64())])
-        return pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), other, pa.array(n)], names=["a", "b", "n"])
+        a = np.concatenate([cid[some], cid[joined], cid[still[:, 0]]])
+        b = pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(cid[label[joined]], type=pa.int64()), pa.array(cid[still[:, 1]], type=pa.int64())])
+        n = pa.concat_arrays([pa.array(found[some], type=pa.int64()), pa.array(np.zeros(len(joined), dtype=np.int64)), pa.nulls(len(still), pa.int64())])
+        return pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), b, n], names=["a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pd.DataFrame | None = None
@@ -182,17 +227,53 @@ def _join(blocks: int, threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = "label", threshold: float = 0.98, blocks: int = 8, leaf_rows: int = 4096) -> DataFrame:
+def _verify(threshold: float):
+    """Of pairs with their vectors (a, b, ca, cb, x, y), those with cosine >= threshold in double precision."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = batch.to_pandas()
+            hit = np.zeros(len(t), dtype=bool)
+            for lo in range(0, len(t), 2000):
+                for _, own in t.iloc[lo : lo + 2000].groupby(t["x"].str.len(), sort=False):
+                    x, y = (np.array(own[c].tolist(), dtype=np.float64) for c in ("x", "y"))
+                    x, y = (v / np.abs(v).max(axis=1, keepdims=True) for v in (x, y))
+                    dot = lambda u, v: np.einsum("ij,ij->i", u, v)
+                    hit[own.index] = dot(x, y) / (np.sqrt(dot(x, x)) * np.sqrt(dot(y, y))) >= threshold
+            t = t[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(t[c].to_numpy(), type=pa.int64()) for c in ("a", "b", "ca", "cb")], names=["a", "b", "ca", "cb"])
+
+    return run
+
+
+def _settled(still: DataFrame, classes: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """Rows (a, b, n) of the links among the pairs left open, whose vectors are fetched for it."""
+    ends = still.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    ends = ends.join(classes.select("cid", "h1", "h2", "copies"), "cid")
+    ends = ends.join(known.select("h1", "h2", "vec"), ["h1", "h2"]).groupBy("cid").agg(F.first("copies").alias("c"), F.first("vec").alias("v"))
+    ends = materialise(ends, "ends")
+    pairs = still.join(ends.select(F.col("cid").alias("a"), F.col("c").alias("ca"), F.col("v").alias("x")), "a")
+    pairs = pairs.join(ends.select(F.col("cid").alias("b"), F.col("c").alias("cb"), F.col("v").alias("y")), "b")
+    hits = pairs.select("a", "b", "ca", "cb", "x", "y").mapInArrow(_verify(threshold), "a bigint, b bigint, ca bigint, cb bigint")
+    both = F.array(F.struct("a", "b", F.col("cb").alias("n")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("ca").alias("n")))
+    return hits.select(F.explode(both).alias("r")).select("r.*")
+
+
+def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = "label", threshold: float = 0.98, blocks: int = 4, leaf_rows: int = 4096) -> DataFrame:
     """Near-duplicate classes of all vectors with equal labels, by cosine in double precision.
 
     Unit vectors with cosine >= threshold lie within a squared distance of
     2 - 2 threshold; turned and split into *blocks* subspaces, in one of them at
     least they lie within that budget divided by the number of blocks.  Each
     block is range-joined on a grid whose cells use as many coordinates as its
-    label's count asks for; the union of the candidates is verified exactly.
-    Equal vectors form a class that is joined once.  A cell of more than
-    2 * *leaf_rows* points is dealt out as pairs of chunks.  Tasks return link
-    counts and spanning trees, not pairs.
+    label's count asks for.  What is dealt to the cells are ids and coordinates
+    of 16 bits, with budgets widened by what rounding can do; the union of the
+    candidates is verified exactly: by these coordinates where rounding cannot
+    matter (all but a band of about 1e-4 about the threshold), else by the
+    vectors themselves, fetched for those pairs alone.  Equal vectors form a
+    class that is joined once.  A cell of more than 2 * *leaf_rows* points is
+    dealt out as pairs of chunks.  Tasks return link counts and spanning trees,
+    not pairs, but for those in the band.
 
     Returns one row per input row: the id, ``n_links`` (other vectors linked
     directly), ``component_id`` (smallest id reachable, itself included),
@@ -210,34 +291,34 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
     fine &= F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
     marks = [F.xxhash64(F.lit(s), F.col("label"), F.col("vec")).alias(f"h{s}") for s in (1, 2)]
-    known = materialise(rows.where("fine").select("id", "label", "vec", *marks), "vectors")
-    classes = known.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec"), F.first("label").alias("label"))
-    classes = classes.select(F.monotonically_increasing_id().alias("cid"), F.xxhash64("label", F.size("vec")).alias("grp"), F.size("vec").alias("dim"), "h1", "h2", "rep", "copies", "vec")
-    classes = materialise(classes, "classes")
+    known = materialise(rows.where("fine").select("id", F.xxhash64("label", F.size("vec")).alias("grp"), *marks, "vec", sketches(F.col("vec"), blocks).alias("sketch")), "vectors")
+    classes = known.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("grp").alias("grp"), F.first("sketch").alias("sketch"))
+    classes = materialise(classes.select(F.monotonically_increasing_id().alias("cid"), "*"), "classes")
     sizes = classes.groupBy("grp").agg(F.count("*").alias("n"))
     k = F.least(F.lit(56 // CELL_BITS), F.greatest(F.lit(0), F.ceil(F.log(F.col("n") / leaf_rows) / F.log(F.lit(3.0)))))
-    points = classes.join(sizes, "grp").select("grp", "cid", "dim", "copies", "vec", k.cast("int").alias("k"))
+    points = classes.join(sizes, "grp").select("grp", "cid", "copies", "sketch", k.cast("int").alias("k"))
     points = materialise(points, "points")
     place = "grp bigint, b int, cell bigint, role int, cid bigint"
-    kind = classes.schema["vec"].dataType.simpleString()
     bare = points.mapInArrow(_deal(blocks, threshold, False), place)
     full = bare.groupBy("grp", "b", "cell").count().where(F.col("count") > 2 * leaf_rows)
     full = materialise(full.select("grp", "b", "cell", F.ceil(F.col("count") / leaf_rows).cast("int").alias("chunks")), "full")
-    dealt = points.mapInArrow(_deal(blocks, threshold, True), f"{place}, copies bigint, vec {kind}")
+    dealt = points.mapInArrow(_deal(blocks, threshold, True), f"{place}, copies bigint, sketch binary")
     dealt = dealt.join(full, ["grp", "b", "cell"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cid"), "chunks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("grp", "b", "cell", F.least("own", "with").alias("c0"), F.greatest("own", "with").alias("c1"), (F.col("own") > F.col("with")).cast("int").alias("side"), "role", "cid", "copies", "vec")
+    dealt = dealt.select("grp", "b", "cell", F.least("own", "with").alias("c0"), F.greatest("own", "with").alias("c1"), (F.col("own") > F.col("with")).cast("int").alias("side"), "role", "cid", "copies", "sketch")
     dealt = dealt.repartition(parallelism(spark), *_CELL).sortWithinPartitions(*_CELL)
     found = materialise(dealt.mapInArrow(_join(blocks, threshold), "a bigint, b bigint, n bigint"), "links")
-    counts = found.groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n"))
-    roots = materialise(connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("vertex", "cid"), "roots")
+    settled = materialise(_settled(found.where("n is null").select("a", "b"), classes, known, threshold), "settled")
+    linked = found.where("n is not null").union(settled)
+    counts = linked.groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n"))
+    roots = materialise(connected_components(linked.where("b is not null").select("a", "b")).withColumnRenamed("vertex", "cid"), "roots")
     known_classes = classes.select("cid", "h1", "h2", "rep", "copies").join(roots, "cid", "left").join(counts, "cid", "left")
     known_classes = known_classes.select("h1", "h2", "rep", F.coalesce("root", "cid").alias("root"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
     known_classes = materialise(known_classes, "linked")
     least = materialise(known_classes.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     named = materialise(known_classes.join(least, "root").select("h1", "h2", "n_links", "component_id"), "named")
     out = known.select("id", "h1", "h2").join(named, ["h1", "h2"]).select("id", "n_links", "component_id")
-    release(points, full, found, roots, known_classes, least)
+    release(classes, points, full, found, settled, roots, known_classes, least)
     out = out.union(rows.where(~F.col("fine")).select("id", F.lit(0).cast("bigint"), F.col("id")))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 

@@ -73,3 +73,33 @@ def test_the_turn_keeps_lengths():
     assert np.allclose((r**2).sum(axis=(1, 2)), 1)
     assert np.allclose(r.reshape(50, -1) @ r.reshape(50, -1).T, u @ u.T)
     assert np.array_equal(embeddings.rotate(u[7:9], 8), r[7:9])
+
+
+def test_pairs_about_the_threshold_are_settled_by_the_vectors(spark):
+    """Pairs of cosines closer to 0.98 than rounding can tell, on both sides, and copies of them."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(120):
+        a = rng.normal(size=24)
+        a /= np.linalg.norm(a)
+        b = rng.normal(size=24)
+        b -= (b @ a) * a
+        b /= np.linalg.norm(b)
+        cos = 0.98 + (k % 7 - 3 or 4) * 10.0 ** -(3 + k % 9)
+        rows += [(3 * k, a.tolist(), 0), (3 * k + 1, (cos * a + math.sqrt(1 - cos * cos) * b).tolist(), 0)]
+        if k % 5 == 0:
+            rows.append((3 * k + 2, (2 * a).tolist(), 0))
+        if k % 6 == 0:
+            rows.append((1000 + k, rows[-1][1], 0))
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df, leaf_rows=60).collect()}
+    want = plain(rows)
+    assert got == want and 20 < sum(n > 0 for n, _, _ in want.values()) < len(rows)
+
+
+@pytest.mark.parametrize("blocks", [2, 8])
+def test_other_numbers_of_blocks(spark, blocks):
+    rows = cloud(np.random.default_rng(blocks), 200, 20)
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df, blocks=blocks, leaf_rows=20).collect()}
+    assert got == plain(rows)
