@@ -2,26 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 ROUNDS = 10
 #: A longer value is permuted in stretches of so many characters, for each half must fit a bigint.
 STRETCH = 24
 
+#: Session setting that holds the key.
+KEY_SETTING = "loamwork.pii.key"
+_own_keys: dict[str, str] = {}
+
+#: Lengths of the IBANs of countries.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+#: Fixed value: how access tokens of well-known services begin; the beginning is kept.
+TOKEN_STARTS = r"(?:AKIA|ASIA|AIza|gh[oprsu]_|github_pat_|glpat-|[prs]k_(?:live|test)_|xox[abeprs]-|sk-(?:proj-)?)"
+
+
+def _iban() -> str:
+    """Groups may be spaced where the country's length is known; what follows, even capital words, is no part of it."""
+    known = "|".join(f"(?:{'|'.join(c.split())})\\d\\d(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d\d)(?:{known}|[A-Z]{{2}}\d\d[A-Z0-9]{{11,30}}+)(?![A-Za-z0-9])"
+
+
 #: What is looked for, in this order; a Java pattern each.  No pattern can backtrack over a long run.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.)++\p{L}{2,24}+(?![\p{L}\p{N}@])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}){2,7}+(?: [A-Z0-9]{1,3})?+)(?![A-Za-z0-9])",
+    "iban": _iban(),
+    "token": rf"(?<![A-Za-z0-9_-])(?=[Agprsx]){TOKEN_STARTS}[A-Za-z0-9_-]{{16,255}}+(?![A-Za-z0-9_-])",
     "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}+|[0-9A-F]{32,64}+)(?![A-Za-z0-9])",
     "card": r"(?<![A-Za-z0-9])(?:\d{13,19}+|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![A-Za-z0-9]|[.,-]\d)",
     "ssn": r"(?<![A-Za-z0-9.-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![A-Za-z0-9]|-\d)",
     "phone": r"(?<![A-Za-z0-9+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}+|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![A-Za-z0-9]|-\d)",
+    "national": r"(?<![A-Za-z0-9+./-])(?:0[1-9]\d{1,3}[ /-]\d{5,8}|0[1-9]\d{1,3} \d{3,4} \d{3,4}|0[1-9](?:[ .-]\d\d){4}|\d{3}\.\d{3}\.\d{4})(?![A-Za-z0-9]|[./-]\d)",
     "ipv4": r"(?<![A-Za-z0-9.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![A-Za-z0-9]|\.\d)",
     "date": r"(?<![A-Za-z0-9./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?![A-Za-z0-9]|[./-]\d)",
 }
 
 
+def session_key(spark: SparkSession) -> str:
+    """The key of the session's setting; where there is none, one made up for this application."""
+    own = spark.sparkContext.applicationId
+    return spark.conf.get(KEY_SETTING, None) or _own_keys.setdefault(own, secrets.token_hex(32))
+
+
+def _round_key(spark: SparkSession, key: str) -> str:
+    """What the rounds hash, made of the key; Spark is told to blot such values out of plan texts."""
+    blot, setting = r"\b[0-9a-f]{64}\b", "spark.sql.redaction.string.regex"
+    now = spark.conf.get(setting, None)
+    if not now or blot not in now:
+        spark.conf.set(setting, f"(?:{now})|{blot}" if now else blot)
+    return hashlib.sha256(key.encode()).hexdigest()
+
+
 def _raw(pattern: str) -> str:
     return "r'" + pattern + "'"
 
@@ -135,6 +179,11 @@ def _pseudonym(m: str, key: str) -> str:
     code = rf"regexp_extract({m}, r'^(?:\+\d{{1,3}})?', 0)"
     phone = _let(code, "f", f"concat(f, {_body_permuted(f'substr({m}, length(f) + 1)', _sql_str('phone'), key)})")
 
+    national = _let(f"if({m} like '0%', '0', '')", "f", f"concat(f, {_body_permuted(f'substr({m}, length(f) + 1)', _sql_str('phone'), key)})")
+
+    start = _let(f"regexp_extract({m}, {_raw('^' + TOKEN_STARTS)}, 0)", "f", f"concat(f, {_body_permuted(f'substr({m}, length(f) + 1)', _sql_str('token:') + ' || f', key)})")
+    token = f"if({m} rlike '[0-9]', {start}, {m})"
+
     octets = f"transform(split({m}, r'\\.'), x -> cast(x as bigint))"
     ipv4 = f"array_join(transform({_permuted(octets, 'array(256L, 256L, 256L, 256L)', _sql_str('ipv4'), key)}, x -> cast(x as string)), '.')"
 
@@ -146,7 +195,7 @@ def _pseudonym(m: str, key: str) -> str:
     moved = _permuted(f"array({value} div {radices}[1], {value} % {radices}[1])", radices, "concat('date:', year(s))", key)
     date = _let(form, "f", _let(f"cast(try_to_timestamp({m}, f) as date)", "y", f"if(y is null, {m}, {_let(start, 's', _let(moved, 'n', f'date_format(date_add(s, cast(n[0] * {radices}[1] + n[1] as int)), f)'))})"))
 
-    parts = {"email": email, "iban": iban, "secret": f"if({m} rlike '[0-9]' and {m} rlike '[A-Fa-f]', {_hex_permuted(m, key)}, {m})", "card": card, "ssn": ssn, "phone": phone, "ipv4": ipv4, "date": date}
+    parts = {"email": email, "iban": iban, "secret": f"if({m} rlike '[0-9]' and {m} rlike '[A-Fa-f]', {_hex_permuted(m, key)}, {m})", "card": card, "ssn": ssn, "phone": phone, "national": national, "token": token, "ipv4": ipv4, "date": date}
     return "case " + " ".join(f"when {match[k]} then {parts[k]}" for k in PATTERNS) + f" else {m} end"
 
 
@@ -162,12 +211,14 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def pseudonymise(docs: DataFrame, *, text_col: str = "text", key: str = "loamwork", count_col: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, *, text_col: str = "text", key: str | None = None, count_col: str | None = None) -> DataFrame:
     """Replace personal data in every whole text by pseudonyms of the same format.
 
     E-mail addresses (the local part), IBANs, payment cards, social security
-    numbers, telephone numbers, IPv4 addresses, calendar dates (within their
-    century) and hexadecimal secrets are found by one pattern.  Numbers are
+    numbers, telephone numbers (international, and national ones in common
+    forms), IPv4 addresses, calendar dates (within their century), hexadecimal
+    secrets and access tokens of well-known services (after their beginning)
+    are found by one pattern.  Numbers are
     validated first: cards by Luhn's rule and a first digit of 2 to 6, IBANs by
     modulo 97, dates by the calendar; what fails stays as it is, and so does
     any text without a find.  A valid value is permuted by a keyed Feistel
@@ -176,21 +227,29 @@ def pseudonymise(docs: DataFrame, *, text_col: str = "text", key: str = "loamwor
     and different values of a format have different ones (but for letters
     other than a-z and A-Z in addresses, which become a-z).
 
+    Who has the key can undo the permutation, so it is no part of the program:
+    without *key* the session's setting KEY_SETTING is taken and, where that is
+    unset, a key made up for the application, which links values within it
+    only.  The plan holds a digest of the key, which Spark's redaction of plan
+    texts is set to hide.
+
     Returns the rows with the text replaced and, if *count_col* is given, the
     number of values replaced in that column (bigint, replacing a column of
     that name).  A null text stays null, with count 0; other columns, null ids
     and repeated rows stay; an empty table gives an empty table.  A text is
     handled by itself, without a shuffle.
     """
+    spark = docs.sparkSession
+    secret = _round_key(spark, session_key(spark) if key is None else key)
     rx = _raw(_combined())
-    text = f"`{text_col}`"
+    text, found, new = f"`{text_col}`", fresh(docs, "__found"), fresh(docs, "__new")
     some = f"{text} rlike '[0-9@]'"
-    found = F.expr(f"case when {some} then regexp_extract_all({text}, {rx}, 0) else cast(array() as array<string>) end")
-    new = F.expr(f"transform(__found, m -> {_pseudonym('m', _quoted(key))})")
-    joined = F.expr(f"case when size(__found) > 0 then array_join(zip_with(split({text}, {rx}), __new, (p, n) -> concat(p, coalesce(n, ''))), '') else {text} end")
+    matches = F.expr(f"case when {some} then regexp_extract_all({text}, {rx}, 0) else cast(array() as array<string>) end")
+    pseudonyms = F.expr(f"transform({found}, m -> {_pseudonym('m', _quoted(secret))})")
+    joined = F.expr(f"case when size({found}) > 0 then array_join(zip_with(split({text}, {rx}), {new}, (p, n) -> concat(p, coalesce(n, ''))), '') else {text} end")
     kept = [c for c in docs.columns if c != count_col]
-    rows = docs.select(*kept, found.alias("__found")).withColumn("__new", new)
-    out: list[Column] = [joined.alias(c) if c == text_col else F.col(c) for c in kept]
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept), matches.alias(found)).withColumn(new, pseudonyms)
+    out: list[Column] = [joined.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept]
     if count_col:
-        out.append(F.expr("coalesce(size(filter(zip_with(__found, __new, (m, n) -> m <> n), x -> x)), 0)").cast("bigint").alias(count_col))
+        out.append(F.expr(f"coalesce(size(filter(zip_with({found}, {new}, (m, n) -> m <> n), x -> x)), 0)").cast("bigint").alias(count_col))
     return rows.select(*out)
