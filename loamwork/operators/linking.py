@@ -102,16 +102,19 @@ def gap_score(gap: Column) -> Column:
     return F.when(gap.between(2, 5), 5 - gap + 1).otherwise(0)
 
 
-def graph_scores(edges: DataFrame, quality: DataFrame, digits: int = 6) -> DataFrame:
-    """Shared and new entity weight of chunk pairs that share an entity (LNK-11).
+def graph_scores(edges: DataFrame, quality: DataFrame, primaries: DataFrame | None = None, digits: int = 6) -> DataFrame:
+    """Shared and new entity weight of the chunks that share an entity with a primary (LNK-11).
 
-    edges (name, id), quality (name, q).  Pairs come from an equi-join on the
-    entity; entities are kept to the discriminative band beforehand.
+    edges (name, id), quality (name, q), primaries (id; by default all chunks).
+    Pairs come from an equi-join on the entity, of the primaries' edges with
+    all; entities are kept to the discriminative band beforehand.
     """
     known = edges.join(quality, "name", "left").withColumn("q", F.coalesce("q", F.lit(0.5)))
-    sizes = known.groupBy("id").agg(F.count("*").alias("n"), F.sum("q").alias("all"))
-    pairs = known.alias("x").join(known.alias("y"), (F.col("x.name") == F.col("y.name")) & (F.col("x.id") != F.col("y.id")))
-    shared = pairs.groupBy(F.col("x.id").alias("pid"), F.col("y.id").alias("id")).agg(F.sum("x.q").alias("s"))
+    exact = lambda c: F.sum(F.col(c).cast("decimal(18,9)")).cast("double")  # noqa: E731  whatever the order
+    sizes = known.groupBy("id").agg(F.count("*").alias("n"), exact("q").alias("all"))
+    left = known if primaries is None else known.join(primaries, "id", "left_semi").select("name", "id", "q")
+    pairs = left.alias("x").join(known.alias("y"), (F.col("x.name") == F.col("y.name")) & (F.col("x.id") != F.col("y.id")))
+    shared = pairs.groupBy(F.col("x.id").alias("pid"), F.col("y.id").alias("id")).agg(exact("x.q").alias("s"))
     p = sizes.select(F.col("id").alias("pid"), F.col("n").alias("pn"))
     rows = shared.join(p, "pid").join(sizes, "id")
     return rows.select("pid", "id", F.round(F.col("s") / F.col("pn"), digits).alias("shared"), F.round((F.col("all") - F.col("s")) / F.col("n"), digits).alias("new"))

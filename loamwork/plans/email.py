@@ -151,7 +151,8 @@ def eml_13(spark, sf):
     return table(spark, sf, "documents").select("doc_id", op.mergeable(i % 11 / 10, i % 7 / 6, i % 5 / 4).alias("mergeable"))
 
 
-COMPONENTS = """pr AS (SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON a.doc_id < b.doc_id AND substr(a.text, 1, 30) = substr(b.text, 1, 30)),
+COMPONENTS = f"""{SH}, sk AS (SELECT id, list_sort(s) AS s FROM sh WHERE len(s) > 0), cl AS (SELECT min(id) AS id, s FROM sk GROUP BY s), x AS (SELECT id, len(s) AS n, unnest(s) AS v FROM cl),
+pr AS (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.v = b.v AND a.id < b.id GROUP BY 1, 2 HAVING count(*) >= 0.9 * (any_value(a.n) + any_value(b.n) - count(*)) UNION SELECT cl.id, sk.id FROM sk JOIN cl ON sk.s = cl.s AND cl.id < sk.id),
 e AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr), re(a, b) AS (SELECT a, a FROM e UNION SELECT re.a, e.b FROM re JOIN e ON re.b = e.a), ro AS (SELECT a AS id, min(b) AS root FROM re GROUP BY a)"""
 
 
@@ -162,7 +163,7 @@ def eml_14(spark, sf):
     return op.collapse(d.drop("text"), op.duplicate_links(d.select("id", "text")))
 
 
-@query("eml_16_dedupe_report", "SELECT CASE WHEN n > 1 THEN 'clustered' ELSE 'single' END AS kind, count(*) AS groups, sum(n)::BIGINT AS threads, sum(n - 1)::BIGINT AS dropped FROM (SELECT count(*) AS n FROM documents GROUP BY substr(text, 1, 30)) GROUP BY 1")
+@query("eml_16_dedupe_report", f"WITH RECURSIVE {COMPONENTS} SELECT CASE WHEN n > 1 THEN 'clustered' ELSE 'single' END AS kind, count(*) AS groups, sum(n)::BIGINT AS threads, sum(n - 1)::BIGINT AS dropped FROM (SELECT count(*) AS n FROM documents LEFT JOIN ro ON doc_id = id GROUP BY coalesce(root, doc_id)) GROUP BY 1")
 def eml_16(spark, sf):
     texts = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     roots = texts.select("id").join(components(op.duplicate_links(texts)), "id", "left")

@@ -11,7 +11,7 @@ from .registry import query, table
 
 HEAD = "hd AS (SELECT doc_id AS id, source AS file, text FROM documents)"
 TOK = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '[ \t\r\n\x0b\x0c]+'), lambda x: x <> ''))"
-HITS = "hi AS (SELECT p.pid, d.doc_id AS id, ((d.doc_id * 7 + p.pid * 3) % 97) / 10 AS score FROM (SELECT min(doc_id) AS pid FROM documents GROUP BY source) p, documents d WHERE (d.doc_id + p.pid) % 9 = 0)"
+HITS = "hi AS (SELECT p.pid, d.doc_id AS id, ((d.doc_id * 7 + p.pid * 3) % 97) / 10 AS score FROM (SELECT min(doc_id) AS pid FROM documents GROUP BY source) p, documents d)"
 CAND = f"""pp AS (SELECT id AS pid, file AS pfile, text AS ptext FROM hd), ca AS (SELECT pid, id, score, file, text, ptext FROM hi JOIN hd USING (id) JOIN pp USING (pid) WHERE pid <> id AND file <> pfile AND length(text) >= 400 AND id % 10 <> 3)"""
 COH = f"""co AS (SELECT *, len(list_intersect(pw, w)) / (len(pw) + len(w) - len(list_intersect(pw, w))) AS overlap FROM (SELECT *, {TOK.format('ptext')} AS pw, {TOK.format('text')} AS w FROM ca)), cb AS (SELECT * FROM co WHERE overlap BETWEEN 0.05 AND 0.55)"""
 RANK = """rk AS (SELECT pid, id, text, w, composite, row_number() OVER (PARTITION BY pid ORDER BY composite DESC, id)::INT AS rank FROM (SELECT *, round(((1 - b) * (0.4 * CASE WHEN m > 0 THEN score / m ELSE 0 END + 0.3 * overlap + 0.3 * (id % 5) / 5) + b)::DOUBLE, 6) AS composite
@@ -93,13 +93,13 @@ def lnk_09(spark, sf):
 
 
 @query("lnk_11_graph_scores", f"""WITH {EDGES}, k AS (SELECT ed.name, id, CASE WHEN length(ed.name) % 2 = 0 THEN 0.5 ELSE 0.8 END AS q FROM ed), z AS (SELECT id, count(*) AS n, sum(q) AS t FROM k GROUP BY id),
-s AS (SELECT x.id AS pid, y.id, sum(x.q) AS s FROM k x JOIN k y ON x.name = y.name AND x.id <> y.id AND x.id < 50 GROUP BY ALL)
-SELECT s.pid, s.id, round((s.s / p.n)::DOUBLE, 6) AS shared, round(((z.t - s.s) / z.n)::DOUBLE, 6) AS new FROM s JOIN z p ON s.pid = p.id JOIN z ON s.id = z.id""")
+s AS (SELECT x.id AS pid, y.id, sum(x.q) AS s FROM k x JOIN k y ON x.name = y.name AND x.id <> y.id GROUP BY ALL)
+SELECT s.pid, s.id, round((s.s / p.n)::DOUBLE, 9) AS shared, round(((z.t - s.s) / z.n)::DOUBLE, 9) AS new FROM s JOIN z p ON s.pid = p.id JOIN z ON s.id = z.id""")
 def lnk_11(spark, sf):
     names = entities(spark, sf)
     edges = prof.entity_edges(chunks(spark, sf), names)
     quality = names.where("length(name) % 2 = 1").withColumn("q", F.lit(0.8))
-    return op.graph_scores(edges, quality)
+    return op.graph_scores(edges, quality, digits=9)
 
 
 @query("lnk_14_rollout_parsing", r"""WITH t AS (SELECT item_id, '<tool_call>{"name":"search","arguments":{"query":"' || regexp_extract(text, '[A-Za-z]+') || '"}}</tool_call> x <tool_call>bad</tool_call> <Evidence_Chain> ' || substr(text, 1, 20) || ' </evidence_chain>' AS x FROM benchmark)

@@ -36,7 +36,7 @@ def prf_02(spark, sf):
     return op.keyphrases(chunks(spark, sf))
 
 
-ENT = f"""ent AS (SELECT token AS name FROM tdf, (SELECT count(*) AS n FROM documents) WHERE length(token) >= 5 AND df >= 0.02 * n AND df < 0.4 * n ORDER BY df DESC, token LIMIT 40)"""
+ENT = f"""ent AS (SELECT token AS name FROM tdf, (SELECT count(*) AS n FROM documents) WHERE length(token) >= 5 AND df >= 0.02 * n AND df < 0.4 * n)"""
 
 
 def entities(spark, sf):

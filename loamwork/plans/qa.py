@@ -107,7 +107,7 @@ def qaf_21(spark, sf):
     return composites(spark, sf).select("id", "score")
 
 
-BIGRAMS = r"""bg AS (SELECT id, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i::BIGINT] || ' ' || w[i::BIGINT + 1])) AS b FROM (SELECT doc_id AS id, regexp_extract_all(lower(substr(text, 1, 60)), '[\p{L}\p{N}_]+') AS w FROM documents) WHERE len(w) > 1)"""
+BIGRAMS = r"""bg AS (SELECT id, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i::BIGINT] || ' ' || w[i::BIGINT + 1])) AS b FROM (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents) WHERE len(w) > 1)"""
 
 
 @query("qaf_24_early_dedup", f"WITH {BIGRAMS} SELECT a.id, round(max(len(list_intersect(a.b, c.b)) / (len(a.b) + len(c.b) - len(list_intersect(a.b, c.b)))), 6) AS similarity FROM bg a JOIN bg c ON a.id % 2 = 1 AND c.id % 2 = 0 AND len(list_intersect(a.b, c.b)) >= 0.7 * (len(a.b) + len(c.b) - len(list_intersect(a.b, c.b))) GROUP BY a.id")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.sampling import sample
 from ..functions.text import first_nonempty
 from ..operators import predicates as pred
 from ..operators import search as op
+from ..operators.linking import fallback_query, longest_capitalised
 from .registry import query, table
 
 RULES = {"and": [{"field": "o_orderstatus", "op": "in", "value": ["F", "O"]}, {"or": [{"field": "o_totalprice", "op": "gte", "value": 200000.0}, {"not": {"field": "o_orderpriority", "op": "eq", "value": "1-URGENT"}}]}, {"field": "o_custkey", "op": "lte", "value": 800}, {"bad": 1}]}
@@ -59,11 +61,11 @@ def vectors(spark, sf):
 
 
 def vector_queries(spark, sf):
-    """Every row asks."""
-    return vectors(spark, sf).select(F.col("id").alias("qid"), F.col("vector").alias("qvector"))
+    """The stated query set: every row whose id is divisible by 20, against all rows."""
+    return vectors(spark, sf).where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("qvector"))
 
 
-VEC = """v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings), c AS (SELECT b.id AS qid, a.id, a.label, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a, v b WHERE b.id < 20),
+VEC = """v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings), c AS (SELECT b.id AS qid, a.id, a.label, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a, v b WHERE b.id % 20 = 0),
 vr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM c)"""
 
 
@@ -77,15 +79,25 @@ def srh_03(spark, sf):
     return table(spark, sf, "events").select("event_id", op.distance_score(F.col("value") - 10).alias("score"))
 
 
-LEX = "lx AS (SELECT b.vec_id AS qid, a.vec_id AS id, row_number() OVER (PARTITION BY b.vec_id ORDER BY abs(a.label - b.label), a.vec_id)::INT AS rank FROM embeddings a, embeddings b WHERE b.vec_id < 20)"
+LEX = "lx AS (SELECT b.vec_id AS qid, a.vec_id AS id, row_number() OVER (PARTITION BY b.vec_id ORDER BY abs(a.label - b.label), a.vec_id)::INT AS rank FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0)"
 
 
 def label_list(spark, sf, k):
-    """The list depends on a query's label only: it is made once per label."""
-    rows = vectors(spark, sf)
-    labels = rows.select(F.col("label").alias("ql")).distinct()
-    lists = op.top(rows.join(labels).select("ql", "id", (-F.abs(F.col("label") - F.col("ql"))).alias("score")), k, by="ql")
-    return rows.select(F.col("id").alias("qid"), F.col("label").alias("ql")).join(lists, "ql").select("qid", "id", "score", "rank")
+    """Rows by the distance of labels, then id.
+
+    The list depends on a query's label only, so it is made once per label, of
+    the k smallest ids of every label; a label is an integer, so lists are made
+    of its neighbours outwards: k labels on either side always hold k rows.
+    """
+    rows = vectors(spark, sf).select("id", "label")
+    w = Window.partitionBy("label").orderBy("id")
+    few = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).select("id", "label")
+    order = rows.select("label").distinct().groupBy().agg(F.array_sort(F.collect_set("label")).alias("all"))
+    at = F.array_position("all", F.col("ql"))
+    near = rows.where("id % 20 = 0").select(F.col("label").alias("ql")).distinct().join(F.broadcast(order))
+    near = near.select("ql", F.explode(F.slice("all", F.greatest(F.lit(1), at - k), F.lit(2 * k + 1))).alias("label"))
+    lists = op.top(near.join(few, "label").select("ql", "id", (-F.abs(F.col("label") - F.col("ql"))).alias("score")), k, by="ql")
+    return rows.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("label").alias("ql")).join(lists, "ql").select("qid", "id", "score", "rank")
 
 
 def fused(base: int, w1: float, w2: float, depth: int) -> str:
@@ -118,20 +130,25 @@ CHUNKS = "ch AS (SELECT doc_id AS id, source AS file, row_number() OVER (PARTITI
 
 
 def chunks(spark, sf):
-    from pyspark.sql import Window
-
     idx = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file"), idx.alias("idx"))
 
 
-@query("srh_09_related", f"""WITH {BM25}, {CHUNKS}, h AS (SELECT qid % 10 AS qid, qid AS query, id, score FROM bm WHERE rank <= 30),
+ASKED = r"""asked AS (SELECT * FROM (SELECT doc_id * 2 AS item_id, substr(trim(regexp_extract(text, '^([^.!?]*)', 1)), 1, 120) AS text FROM documents WHERE doc_id % 20 = 0
+UNION ALL SELECT doc_id * 2 + 1, list_filter(w, lambda x: length(x) = list_max(list_transform(w, lambda y: length(y))))[1] FROM (SELECT doc_id, regexp_extract_all(text, '(\p{Lu}[\p{Ll}]+(?: \p{Lu}[\p{Ll}]+)*)', 1) AS w FROM documents WHERE doc_id % 20 = 0)) WHERE text IS NOT NULL)"""
+
+
+@query("srh_09_related", f"""WITH {ASKED}, {BM25.replace('FROM benchmark', 'FROM asked')}, {CHUNKS}, h AS (SELECT qid // 2 AS qid, qid AS query, id, score FROM bm WHERE rank <= 30),
 r AS (SELECT h.qid, h.id, count(DISTINCT query) AS n_queries, max(score) AS max_score, max((a.file = b.file)::INT) AS same_file FROM h JOIN ch a ON h.id = a.id JOIN ch b ON b.id = h.qid
 WHERE h.id <> h.qid AND NOT (a.file = b.file AND abs(a.idx - b.idx) <= 1) GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n_queries DESC, same_file, max_score DESC, id)::INT AS rank FROM r) WHERE rank <= 10""")
 def srh_09(spark, sf):
-    hits = op.bm25(corpus(spark, sf), items(spark, sf), 30).select((F.col("qid") % 10).alias("qid"), F.col("qid").alias("query"), "id", "score")
-    primary = hits.select("qid").distinct().withColumn("pid", F.col("qid"))
-    return op.related(hits, chunks(spark, sf), primary, 10)
+    """Primaries are the stated query set, ids divisible by 20; each asks its first sentence and its longest capitalised phrase."""
+    asked = corpus(spark, sf).where("id % 20 = 0")
+    queries = asked.select((F.col("id") * 2).alias("qid"), fallback_query(F.col("text")).alias("text"))
+    queries = queries.union(asked.select(F.col("id") * 2 + 1, longest_capitalised(F.col("text")))).where("text IS NOT NULL")
+    hits = op.bm25(corpus(spark, sf), queries, 30).select(F.floor(F.col("qid") / 2).alias("qid"), F.col("qid").alias("query"), "id", "score")
+    return op.related(hits, chunks(spark, sf), asked.select(F.col("id").alias("qid"), F.col("id").alias("pid")), 10)
 
 
 @query("srh_11_sample_chunks", "SELECT doc_id FROM documents WHERE length(text) >= 400 ORDER BY md5('42|' || doc_id), doc_id LIMIT 25")

@@ -33,7 +33,7 @@ def test_every_document_has_graph_scores(spark, tmp_path):
         for b, y in held.items():
             if a != b and set(x) & set(y):
                 s = sum(x[w] for w in set(x) & set(y))
-                want[a, b] = (round(s / len(x), 6), round((sum(y.values()) - s) / len(y), 6))
+                want[a, b] = (round(s / len(x), 9), round((sum(y.values()) - s) / len(y), 9))
     assert got == want and max(a for a, _ in got) == n - 1
 
 
