@@ -129,21 +129,25 @@ def reply_order(mail: DataFrame, max_depth: int = 50) -> DataFrame:
     return done.union(rest).withColumn("place", F.row_number().over(Window.partitionBy("thread").orderBy("path")))
 
 
-def ancestors(mail: DataFrame, max_depth: int = 50) -> DataFrame:
-    """(thread, id, ancestor, depth) along the reply chain up to its root; a cycle ends where it closes (EML-18)."""
+def ancestors(mail: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """(thread, id, ancestor, depth) along the reply chain up to its root; a cycle ends where it closes (EML-18).
+
+    Chains double in length each round, so a thread of a million replies takes
+    twenty.  mail: thread, id, parent (null or unknown: a root).
+    """
     links = mail.where("parent is not null").select("thread", F.col("id").alias("child"), F.col("parent").alias("up"))
-    known = mail.select("thread", F.col("id").alias("up"))
-    links = links.join(known, ["thread", "up"], "left_semi")
-    level = cut(links.select("thread", F.col("child").alias("id"), F.col("up").alias("ancestor"), F.lit(1).alias("depth")).where("id <> ancestor"))
-    done = level
-    for depth in range(2, max_depth + 1):
-        step = level.alias("l").join(links.alias("k"), (F.col("l.thread") == F.col("k.thread")) & (F.col("l.ancestor") == F.col("k.child")))
-        step = step.select("l.thread", "l.id", F.col("k.up").alias("ancestor"), F.lit(depth).alias("depth")).where("id <> ancestor")
-        level = cut(step.join(done, ["thread", "id", "ancestor"], "left_anti"))
-        if level.isEmpty():
-            break
-        done = done.union(level)
-    return done
+    links = links.join(mail.select("thread", F.col("id").alias("up")).distinct(), ["thread", "up"], "left_semi")
+    done = cut(links.select("thread", F.col("child").alias("id"), F.col("up").alias("ancestor"), F.lit(1).alias("depth")).where("id <> ancestor"))
+    reach = 1
+    for _ in range(max_rounds):
+        far, on = done.where(F.col("depth") == reach).alias("l"), done.alias("k")
+        step = far.join(on, (F.col("l.thread") == F.col("k.thread")) & (F.col("l.ancestor") == F.col("k.id")))
+        step = step.select("l.thread", "l.id", "k.ancestor", (F.col("k.depth") + reach).alias("depth")).where("id <> ancestor")
+        step = cut(step.join(done, ["thread", "id", "ancestor"], "left_anti").groupBy("thread", "id", "ancestor").agg(F.min("depth").alias("depth")))
+        if step.isEmpty():
+            return done
+        done, reach = cut(done.union(step)), 2 * reach
+    raise RuntimeError(f"chains did not end in {max_rounds} rounds")
 
 
 def mergeable(overall: Column, body: Column, people: Column, limit: float = 0.9) -> Column:
@@ -250,12 +254,21 @@ def clean_body(body: Column, least: int = 8) -> Column:
 
 
 def quote_match(quote: Column, ancestor: Column, threshold: float = 0.9, least: int = 40) -> Column:
-    """A quote repeats an ancestor: by 4-grams or, if long, by containment (EML-19)."""
-    grams = lambda t: word_ngrams(F.array_remove(F.split(match_text(t), " "), ""), 4)
-    q, a = grams(quote), grams(ancestor)
-    cover = F.when(F.size(a) > 0, F.size(F.array_intersect(q, a)) / F.size(a)).otherwise(0.0)
-    near = (jaccard(q, a) >= threshold) | (cover >= threshold) | ((F.length(match_text(quote)) >= 80) & F.contains(match_text(ancestor), match_text(quote)))
-    return (F.length(match_text(quote)) >= least) & near
+    """A quote repeats an ancestor: by 4-grams or, if long, by containment; a short quote repeats nothing (EML-19)."""
+
+    def grams(text: Column) -> Column:
+        return let(F.array_remove(F.split(text, " "), ""), lambda w: F.when(F.size(w) >= 4, word_ngrams(w, 4)).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>")))
+
+    def near(s: Column) -> Column:
+        cover = F.when(F.size(s["a"]) > 0, F.size(F.array_intersect(s["q"], s["a"])) / F.size(s["a"])).otherwise(0.0)
+        return (F.size(s["q"]) > 0) & ((jaccard(s["q"], s["a"]) >= threshold) | (cover >= threshold))
+
+    def compare(t: Column) -> Column:
+        held = ((F.length(t["q"]) >= 80) & F.contains(t["a"], t["q"])) | ((F.length(t["a"]) >= 80) & F.contains(t["q"], t["a"]))
+        by_grams = let(F.struct(grams(t["q"]).alias("q"), grams(t["a"]).alias("a")), near)
+        return (F.length(t["q"]) >= least) & (t["a"] != "") & ((t["q"] == t["a"]) | held | by_grams)
+
+    return let(F.struct(match_text(quote).alias("q"), match_text(ancestor).alias("a")), compare)
 
 
 def is_automated(sender: Column, subject: Column) -> Column:

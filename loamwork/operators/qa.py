@@ -234,9 +234,16 @@ def near_questions(new: DataFrame, accepted: DataFrame, threshold: float = 0.7)
 
 
 def similar_pairs(questions: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Pairs (a < b) of close questions, for the greedy dedup that keeps the first (QAF-25)."""
+    """Pairs (a < b) of close questions, for the greedy dedup that keeps the first (QAF-25).
+
+    Questions without bigrams are alike; the first of them stands in a pair with
+    each of the others.
+    """
+    keyed = questions.select("id", F.size(words(F.coalesce("question", F.lit("")))).alias("n"))
+    bare = keyed.where("n < 2").select("id")
+    alike = bare.join(F.broadcast(bare.agg(F.min("id").alias("a")))).where("a < id").select("a", F.col("id").alias("b"))
     pairs = _similar(_keyed(questions, "x"), _keyed(questions, "y"), threshold, F.col("x") < F.col("y"))
-    return pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).union(alike)
 
 
 def stratified_split(rows: DataFrame, strata: list[str], ratio: float, seed: int = 42) -> DataFrame:

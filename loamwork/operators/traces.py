@@ -134,10 +134,11 @@ def near_duplicate_pairs(completions: DataFrame, threshold: float = 0.85) -> Dat
 def capped_clusters(completions: DataFrame, keep: int = 3, threshold: float = 0.85) -> DataFrame:
     """(id, leader, kept): greedy leader clusters in id order, of which the first few members stay (TRC-08).
 
-    A completion with the trigram set of another joins its class's leader.
+    A completion with the trigram set of another joins its class's leader; those
+    too short for a trigram are alike, and so one class.
     """
     grams = completions.select("id", F.array_sort(char_ngrams(mask_entities(F.col("content")), 3)).alias("grams"))
-    classes = grams.where(F.size("grams") > 0).groupBy("grams").agg(F.min("id").alias("rep"))
+    classes = grams.groupBy("grams").agg(F.min("id").alias("rep"))
     found = leaders(near_duplicate_pairs(completions, threshold)).select(F.col("id").alias("rep"), "leader")
     rows = grams.join(classes, "grams", "left").join(found, "rep", "left")
     rows = rows.select("id", F.coalesce("leader", "rep", "id").alias("leader"))
