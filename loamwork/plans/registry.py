@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("traces", "search", "profile", "linking", "qa", "rewards", "email", "threads", "spans", "cleaning", "chunking", "sources", "relational", "streams", "models", "selection", "records")
+FAMILIES = ("traces", "search", "profile", "linking", "qa", "rewards", "email", "threads", "spans", "cleaning", "chunking", "sources", "relational", "streams", "models", "selection", "generation", "records")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
