@@ -16,6 +16,56 @@ def sample(df: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
     return df.orderBy(pinned(seed, *map(F.col, key)), *key).limit(n)
 
 
+def numbered(df: DataFrame, *order: Column | str, name: str = "n") -> DataFrame:
+    """Rows with their number, from 1, in a total order, without bringing them together.
+
+    Rows are range-partitioned by the order and written; a row's number is its
+    place in its partition and the sizes of the partitions before, of which
+    there are as many as shuffle partitions.
+    """
+    from .greedy import cut
+
+    spark = df.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = cut(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("__size"))
+    before = sizes.withColumn("__before", F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).select("__part", "__before")
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return rows.join(F.broadcast(before), "__part").withColumn(name, (place + F.col("__before")).cast("bigint")).drop("__part", "__before")
+
+
+def running_totals(df: DataFrame, value: str) -> DataFrame:
+    """Distinct values (v) with the number of rows up to each (upto); nulls are left out.
+
+    Like numbered(): range partitions, and a sum over their totals only.
+    """
+    from .greedy import cut
+
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("rows"))
+    rows = cut(counts.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()))
+    sizes = rows.groupBy("part").agg(F.sum("rows").alias("size"))
+    before = sizes.withColumn("before", F.sum("size").over(Window.orderBy("part")) - F.col("size")).select("part", "before")
+    own = F.sum("rows").over(Window.partitionBy("part").orderBy("v"))
+    return rows.join(F.broadcast(before), "part").select("v", (own + F.col("before")).alias("upto"))
+
+
+def exclusive_quantiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """One row with q0, q1, ...: quantiles by the exclusive method, all in one pass over the distinct values.
+
+    Rank p (n + 1), interpolated, clamped to the ends; null without values, the
+    value itself where there is only one.
+    """
+    totals = running_totals(df, value)
+    n = df.agg(F.count(value).alias("all"))
+    low = [F.greatest(F.lit(1), F.least(F.col("all") - 1, F.floor(p * (F.col("all") + 1)))) for p in shares]
+    reach = lambda k: F.min(F.when(F.col("upto") >= k, F.col("v")))
+    found = totals.join(F.broadcast(n)).groupBy("all").agg(*(reach(k).alias(f"lo{i}") for i, k in enumerate(low)), *(reach(F.least(F.col("all"), k + 1)).alias(f"hi{i}") for i, k in enumerate(low)))
+    cuts = [F.col(f"lo{i}") + (p * (F.col("all") + 1) - low[i]) * (F.col(f"hi{i}") - F.col(f"lo{i}")) for i, p in enumerate(shares)]
+    whole = n.join(F.broadcast(found), "all", "left")
+    return whole.select(*(c.alias(f"q{i}") for i, c in enumerate(cuts)))
+
+
 def exclusive_quantile(df: DataFrame, value: str, p: float, by: list[str] | None = None) -> DataFrame:
     """Quantile by the exclusive method: rank p (n + 1), interpolated, clamped to the ends.
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sampling import exclusive_quantile, pinned
+from ..functions.greedy import cut
+from ..functions.sampling import exclusive_quantiles, pinned, running_totals
 from ..functions.text import words
 
 #: Signs of page furniture.
@@ -165,14 +166,13 @@ def census(chunks: DataFrame, digits: int = 6) -> DataFrame:
     chunks: text, header, doc_key, idx, date.  A falsy value counts as missing,
     an index of 0 too.
     """
-    rows = chunks.select(F.length("text").alias("length"), lexical_diversity(F.col("text")).alias("diversity"), "header", "doc_key", "idx", "date")
+    rows = cut(chunks.select(F.length("text").alias("length"), lexical_diversity(F.col("text")).alias("diversity"), "header", "doc_key", "idx", "date"))
     has = lambda c: F.round(F.avg(F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != "") & (F.col(c).cast("string") != "0"), 1.0).otherwise(0.0)), digits)
     sequence = F.round(F.avg(F.when((F.coalesce("doc_key", F.lit("")) != "") & (F.coalesce("idx", F.lit(0)) != 0), 1.0).otherwise(0.0)), digits)
     out = rows.agg(has("header").alias("header_share"), has("doc_key").alias("doc_share"), has("date").alias("date_share"), sequence.alias("sequence_share"))
     for c in ("length", "diversity"):
-        for q in (25, 50, 75):
-            value = F.col("lo") + F.col("w") * (F.col("hi") - F.col("lo"))
-            out = out.join(F.broadcast(exclusive_quantile(rows, c, q / 100).select(F.round(value, digits).alias(f"{c}_p{q}"))))
+        found = exclusive_quantiles(rows, c, [0.25, 0.5, 0.75])
+        out = out.join(F.broadcast(found.select(*(F.round(f"q{i}", digits).alias(f"{c}_p{q}") for i, q in enumerate((25, 50, 75))))))
     regime = F.when(F.col("header_share") > 0.7, "structured").when(F.col("header_share") >= 0.2, "mixed").when((F.col("doc_share") > 0.5) & (F.col("date_share") > 0.5), "mixed").otherwise("unstructured")
     return out.withColumn("regime", regime)
 
@@ -208,7 +208,6 @@ def auto_tune(census_row: DataFrame, target: float = 0.7) -> DataFrame:
 
 def eligible_seeds(scores: DataFrame, seed: int = 42, wanted: int = 20) -> DataFrame:
     """Chunks scoring strictly above the one at a quarter of the order, in pinned order (PRF-27)."""
-    n = scores.count()
-    ranked = scores.groupBy("score").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("score")))
-    cut = ranked.where(F.col("upto") > n // 4).agg(F.min("score").alias("cut"))
-    return scores.join(F.broadcast(cut)).where(F.col("score") > F.col("cut")).orderBy(pinned(seed, F.col("id")), "id").limit(wanted).select("id", "score")
+    scores = cut(scores)
+    least = running_totals(scores, "score").where(F.col("upto") > scores.count() // 4).agg(F.min("v").alias("cut"))
+    return scores.join(F.broadcast(least)).where(F.col("score") > F.col("cut")).orderBy(pinned(seed, F.col("id")), "id").limit(wanted).select("id", "score")

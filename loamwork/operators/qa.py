@@ -313,3 +313,13 @@ def filter_statistics(rows: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.count(F.when(F.col("status") == "passed", 1)).alias("passed"), F.count(F.when(F.col("status") == "needs_refinement", 1)).alias("refine"),
         F.round(F.avg((F.col("status") == "passed").cast("double")), 6).alias("share"),
     )
+
+
+def journey_counts(events: DataFrame) -> DataFrame:
+    """Events by type and stage, by type, and in all (QAF-29): event_type, stage, n; nulls stand for all of a level."""
+    return events.groupingSets([[F.col("event_type"), F.col("stage")], [F.col("event_type")], []], F.col("event_type"), F.col("stage")).agg(F.count("*").alias("n"))
+
+
+def output_line(fields: dict[str, Column]) -> Column:
+    """A question as a JSON line; null fields have no member (QAF-32)."""
+    return F.to_json(F.struct(*(c.alias(k) for k, c in fields.items())))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.greedy import leaders
-from ..functions.sampling import pinned
+from ..functions.sampling import numbered, pinned
 from ..functions.sets import char_ngrams, containment
 from ..functions.text import blank_split, mask_entities
 
@@ -27,7 +27,7 @@ def system_prompts(messages: DataFrame) -> DataFrame:
     """System prompts by use: first system message of each trace, most common first, ties by first trace (TRC-01)."""
     first = messages.where("role = 'system'").groupBy("trace").agg(F.min_by("content", "pos").alias("prompt"))
     counts = first.groupBy("prompt").agg(F.count("*").alias("n"), F.min("trace").alias("first_trace"))
-    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "first_trace")))
+    return numbered(counts, F.desc("n"), "first_trace", name="rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def tool_census(messages: DataFrame, samples: int = 3) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sampling import sample
 from ..operators import chunking as op
+from ..sources import tables
 from .registry import query, table
 
 CH = "ch AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN source || '.md' ELSE lang || '/' || source || '.md' END AS file, lang AS folder, text AS content, doc_id // 20 AS idx FROM documents)"
@@ -59,12 +60,12 @@ def chk_10(spark, sf):
 
 @query("chk_11_lookup", f"WITH {CH} SELECT md5(content) AS hash, max(id) AS id FROM ch GROUP BY 1")
 def chk_11(spark, sf):
-    return chunks(spark, sf).groupBy(F.md5("content").alias("hash")).agg(F.max("id").alias("id"))
+    return tables.by_hash(chunks(spark, sf))
 
 
 @query("chk_12_length_filter", "SELECT doc_id FROM documents WHERE length(text) BETWEEN 400 AND 2048")
 def chk_12(spark, sf):
-    return table(spark, sf, "documents").where(F.length("text").between(400, 2048)).select("doc_id")
+    return tables.of_length(table(spark, sf, "documents"), 400, 2048).select("doc_id")
 
 
 @query("chk_13_sample", "SELECT doc_id FROM documents ORDER BY md5('3|' || doc_id), doc_id LIMIT 15")
@@ -74,5 +75,4 @@ def chk_13(spark, sf):
 
 @query("chk_14_chunk_positions", "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT - 1 AS pos FROM documents")
 def chk_14(spark, sf):
-    pos = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return table(spark, sf, "documents").select("doc_id", "source", pos.alias("pos"))
+    return tables.positions(table(spark, sf, "documents"), "source", "doc_id").select("doc_id", "source", "pos")

@@ -144,9 +144,7 @@ def qaf_28(spark, sf):
 
 @query("qaf_29_journey_stats", "SELECT event_type, user_id % 3 AS stage, count(*) AS n FROM events GROUP BY GROUPING SETS ((event_type, user_id % 3), (event_type), ())")
 def qaf_29(spark, sf):
-    events = table(spark, sf, "events").withColumn("stage", F.col("user_id") % 3)
-    events.createOrReplaceTempView("journey_events")
-    return spark.sql("SELECT event_type, stage, count(*) AS n FROM journey_events GROUP BY GROUPING SETS ((event_type, stage), (event_type), ())")
+    return op.journey_counts(table(spark, sf, "events").withColumn("stage", F.col("user_id") % 3))
 
 
 @query("qaf_30_style", rf"""WITH {BASE}, t AS (SELECT id, trim(question) AS x, lower(trim(question)) AS l, regexp_extract_all(lower(trim(question)), '[\p{{L}}\p{{N}}_$.:/-]+') AS w FROM qa)
@@ -158,7 +156,7 @@ def qaf_30(spark, sf):
 
 @query("qaf_32_output_row", f"""WITH {BASE} SELECT id, md5('{{"id":' || id || ',"qa_type":"' || qa_type || '"' || CASE WHEN n_refs > 0 THEN ',"n_refs":' || n_refs ELSE '' END || '}}') AS line FROM qa""")
 def qaf_32(spark, sf):
-    line = F.to_json(F.struct("id", "qa_type", F.when(F.col("n_refs") > 0, F.col("n_refs")).alias("n_refs")))
+    line = op.output_line({"id": F.col("id"), "qa_type": F.col("qa_type"), "n_refs": F.when(F.col("n_refs") > 0, F.col("n_refs"))})
     return rows(spark, sf).select("id", F.md5(line).alias("line"))
 
 

@@ -94,9 +94,49 @@ def missing_outputs(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
 
 
 def write_split(rows: DataFrame, path: str) -> dict[str, int]:
-    """Write train and eval rows (column part) as JSON lines and return their counts (SRC-18)."""
+    """Write train and eval rows (column part) as JSON lines, and their counts as _stats/metadata.json below (SRC-18)."""
     rows.write.partitionBy("part").mode("overwrite").option("ignoreNullFields", False).json(path)
-    return {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    written = rows.sparkSession.read.json(path)
+    counts = {r["part"]: r["n"] for r in written.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    stats = rows.sparkSession.createDataFrame([(counts.get("train", 0), counts.get("eval", 0))], "train bigint, eval bigint")
+    stats.coalesce(1).write.mode("overwrite").json(f"{path}/_stats/metadata.json")
+    return counts
+
+
+def write_yaml(rows: DataFrame, path: str) -> None:
+    """Write rows as YAML lists, one per part file (SRC-08, 09).
+
+    An entry is its row in JSON, which is YAML in flow style, so no task holds
+    more than a line and any YAML reader takes the files.
+    """
+    rows.select(F.concat(F.lit("- "), F.to_json(F.struct(*rows.columns))).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_yaml(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of YAML files that hold lists, by the schema's members (SRC-08, 09); a file is read by one task.
+
+    Members that are missing are null; a file that is no list gives no rows.
+    """
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import json
+
+        import yaml
+
+        load = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+        for batch in batches:
+            for content in batch["content"]:
+                found = yaml.load(bytes(content).decode("utf-8"), load)
+                lines = [json.dumps(x, default=str) for x in found if isinstance(x, dict)] if isinstance(found, list) else []
+                yield pd.DataFrame({"line": pd.Series(lines, dtype=object)})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where("length > 0").select("content")
+    return files.mapInPandas(parse, "line string").select(F.from_json("line", f"struct<{schema}>").alias("r")).select("r.*")
+
+
+def with_hash(chunks: DataFrame) -> DataFrame:
+    """Stored chunks with the hash of their content, made anew (SRC-08)."""
+    return chunks.withColumn("hash", F.md5(F.coalesce("content", F.lit(""))))
 
 
 def content_address(rows: DataFrame) -> DataFrame:

@@ -17,8 +17,13 @@ def event_stream(spark: SparkSession, sf_dir: str, name: str = "events") -> Data
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A folder for a run's checkpoint and output, below spark.checkpoint.dir where that is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loamwork-stream-")
+    """A folder for a run's checkpoint and output, below spark.checkpoint.dir; one of our own only where that is unset and the master is local."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="loamwork-stream-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
