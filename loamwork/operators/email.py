@@ -196,16 +196,27 @@ def minhash(sets: DataFrame, bands: int = 9, rows: int = 3) -> DataFrame:
     return x.groupBy("id").agg(*low).select("id", F.array(*keys).alias("keys"))
 
 
-def duplicate_pairs(texts: DataFrame, threshold: float = 0.9, bands: int = 20, rows: int = 2) -> DataFrame:
-    """Pairs (a < b) of ids whose shingles have Jaccard >= threshold, by LSH and exact check (EML-11, 12).
-
-    Equal shingle sets are one class, so a copied text gives one row to its
-    bands.  texts: id, text; empty texts pair with nothing.
+def duplicate_pairs(texts: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """Pairs (a < b) of ids whose shingles have Jaccard >= threshold (EML-11, 12).
+
+    Equal shingle sets are one class, so a copied text gives one row.  Shingles
+    are ordered by rarity; a pair over the threshold shares one of the first
+    n - ceil(t n) + 1 of either, so only these meet, in sets of sizes that
+    agree.  A shingle that one class alone has meets nothing: of these only
+    their number is kept, and so the shuffles hold what texts share.  Passages
+    that many texts share are common, and stand behind.  texts: id, text; empty
+    texts pair with nothing.
     """
     sets = texts.select("id", F.array_sort(shingles(F.col("text"))).alias("s")).where(F.size("s") > 0)
-    classes = sets.groupBy("s").agg(F.min("id").alias("id"))
-    keys = minhash(classes, bands, rows).select("id", F.explode("keys").alias("key"))
-    pairs = keys.alias("x").join(keys.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    classes = cut(sets.groupBy("s").agg(F.min("id").alias("id")).withColumn("n", F.size("s")))
+    terms = classes.select("id", "n", F.explode("s").alias("v"))
+    common = terms.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    shared = terms.join(common, "v")
+    w = Window.partitionBy("id")
+    at = F.row_number().over(w.orderBy("df", "v")) + F.col("n") - F.count("*").over(w)
+    keys = shared.withColumn("at", at).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "n", "v")
+    near = F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")
+    pairs = keys.alias("x").join(keys.alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("x.id") < F.col("y.id")) & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     a, b = classes.select(F.col("id").alias("a"), F.col("s").alias("sa")), classes.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     checked = pairs.join(a, "a").join(b, "b").withColumn("similarity", jaccard(F.col("sa"), F.col("sb")))
     return checked.where(F.col("similarity") >= threshold).select("a", "b", "similarity")

@@ -43,13 +43,17 @@ def without_fences(text: Column) -> Column:
 
 
 def parse_qa(text: Column) -> Column:
-    """struct(question, answer) of an answer in JSON or in Q:/A: lines; nulls if it cannot be read (QAF-07)."""
+    """struct(question, answer) of an answer in JSON, in Q:/A: lines, or in two lines or more; nulls if it cannot be read (QAF-07)."""
     plain = without_fences(text)
+    lines = F.filter(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    bare = (F.size(lines) >= 2) & ~plain.startswith("{")
     body = F.regexp_extract(plain, r"(?s)(\{.*\})", 1)
     q = F.coalesce(F.nullif(F.get_json_object(body, "$.question"), F.lit("")), F.nullif(F.regexp_extract(plain, r"(?is)(?:question|q)[ \t]*:[ \t]*([^\n]+)", 1), F.lit("")))
     a = F.coalesce(F.nullif(F.get_json_object(body, "$.answer"), F.lit("")), F.nullif(F.regexp_extract(plain, r"(?is)(?:answer|a)[ \t]*:[ \t]*(.+)$", 1), F.lit("")))
     refused = plain.rlike(r"(?i)cannot[_ ]generate")
-    return F.struct(F.when(~refused, q).alias("question"), F.when(~refused, a).alias("answer"))
+    none = q.isNull() & a.isNull() & bare
+    rest = F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "\n")
+    return F.struct(F.when(~refused, F.when(none, F.get(lines, F.lit(0))).otherwise(q)).alias("question"), F.when(~refused, F.when(none, rest).otherwise(a)).alias("answer"))
 
 
 def judge_flags(text: Column) -> Column:

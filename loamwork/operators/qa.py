@@ -166,10 +166,10 @@ def grounding_verdict(supported: Column, refinements: Column, max_refinements: i
     return F.when(supported, "passed").when(refinements < max_refinements, "needs_refinement").otherwise("rejected")
 
 
-def hop_verdict(n_refs: Column, n_redundant: Column, refinements: Column, max_refinements: int = 2) -> Column:
-    """Redundant chunks go while two remain (QAF-17)."""
-    left = n_refs - n_redundant
-    return F.when(n_redundant == 0, "valid").when(left >= 2, "demoted").when(refinements < max_refinements, "needs_refinement").otherwise("rejected")
+def hop_verdict(n_refs: Column, n_redundant: Column, refinements: Column, max_refinements: int = 2, n_low: Column | None = None) -> Column:
+    """Redundant chunks go while two remain; where none is, chunks that add little are refined (QAF-17)."""
+    left, low = n_refs - n_redundant, F.lit(0) if n_low is None else n_low
+    return F.when((n_redundant == 0) & (low == 0), "valid").when((n_redundant == 0) & (refinements < max_refinements), "needs_refinement").when(n_redundant == 0, "rejected").when(left >= 2, "demoted").when(refinements < max_refinements, "needs_refinement").otherwise("rejected")
 
 
 def difficulty(hops: Column, confidence: Column, digits: int = 4) -> Column:

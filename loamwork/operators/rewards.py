@@ -60,6 +60,13 @@ def citation_scores(cited: Column, refs: Column) -> tuple[Column, Column]:
     return precision, recall
 
 
+def env_citation_scores(cited: Column, refs: Column) -> tuple[Column, Column]:
+    """The same as the environment counts it: both noughts where no reference has a file (RWD-07)."""
+    precision, recall = citation_scores(cited, refs)
+    none = F.size(F.filter(refs, lambda r: F.coalesce(r, F.lit("")) != "")) == 0
+    return F.when(none, 0.0).otherwise(precision), F.when(none, 0.0).otherwise(recall)
+
+
 def efficiency(correct: Column, calls: Column, n_refs: Column, max_calls: int = 10, decay: float = 0.2) -> Column:
     """Correctness, decayed for calls beyond the references and two more (RWD-06)."""
     excess = F.greatest(F.lit(0), calls - (n_refs + 2))

@@ -132,14 +132,15 @@ def related(hits: DataFrame, chunks: DataFrame, primary: DataFrame, k: int) -> D
     """Chunks related to a primary chunk through several queries (SRH-09).
 
     hits (qid, query, id, score): hits of the queries made for primary chunk
-    qid; chunks (id, file, idx); primary (qid, pid).  The primary itself and its
-    direct neighbours in its file are left out; the rest is ordered by number
-    of queries, other files first, best score.
+    qid; chunks (id, file, idx, content); primary (qid, pid).  The primary itself,
+    chunks of the same content and its direct neighbours in its file are left
+    out; the rest is ordered by number of queries, other files first, best score.
     """
-    p = chunks.select(F.col("id").alias("pid"), F.col("file").alias("pfile"), F.col("idx").alias("pidx"))
+    chunks = chunks.select("id", "file", "idx", F.xxhash64("content").alias("same"))
+    p = chunks.select(F.col("id").alias("pid"), F.col("file").alias("pfile"), F.col("idx").alias("pidx"), F.col("same").alias("psame"))
     rows = hits.join(primary, "qid").join(p, "pid").join(chunks, "id")
     same = F.col("file") == F.col("pfile")
-    rows = rows.where((F.col("id") != F.col("pid")) & ~(same & (F.abs(F.col("idx") - F.col("pidx")) <= 1)))
+    rows = rows.where((F.col("id") != F.col("pid")) & (F.col("same") != F.col("psame")) & ~(same & (F.abs(F.col("idx") - F.col("pidx")) <= 1)))
     out = rows.groupBy("qid", "id").agg(F.count_distinct("query").alias("n_queries"), F.max("score").alias("max_score"), F.max(same.cast("int")).alias("same_file"))
     w = Window.partitionBy("qid").orderBy(F.desc("n_queries"), "same_file", F.desc("max_score"), "id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -180,3 +181,45 @@ def best_mode(modes: set[str], order: tuple[str, ...] = ("hybrid", "vector", "le
         if m in modes:
             return m
     raise ValueError("no search mode")
+
+
+def chunk_count(chunks: DataFrame, by: str) -> DataFrame:
+    """Chunks by a column (SRH-12)."""
+    return chunks.groupBy(by).agg(F.count("*").alias("n"))
+
+
+def file_chunks(chunks: DataFrame) -> DataFrame:
+    """Each file's chunks in order: file, n_chunks, ids (SRH-13).  chunks: id, file, idx; a null index counts as 0."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("idx", F.lit(0)).alias("idx"), "id"))), lambda s: s["id"])
+    return chunks.groupBy("file").agg(F.count("*").alias("n_chunks"), ordered.alias("ids"))
+
+
+def knows_files(chunks: DataFrame) -> bool:
+    """Whether chunks say which file and place they come from (SRH-13): by the schema, without reading rows."""
+    return {"file", "idx"} <= set(chunks.columns)
+
+
+def content_of(*fields: str) -> Column:
+    """One field as it is, several as a JSON object (SRH-14)."""
+    return F.col(fields[0]).cast("string") if len(fields) == 1 else F.to_json(F.struct(*fields))
+
+
+def renamed(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Fields under the names of another store; others stay (SRH-16).  Turn the map round for the way back."""
+    return rows.withColumnsRenamed(names)
+
+
+def dimensions(vectors: DataFrame) -> DataFrame:
+    """Vectors by their dimension (SRH-17); null vectors have none."""
+    return vectors.groupBy(F.size("vector").alias("dimension")).agg(F.count("*").alias("n"))
+
+
+def checked_dimension(vectors: DataFrame, wanted: int) -> DataFrame:
+    """The same rows; reading one of another dimension is an error (SRH-17)."""
+    good = F.size("vector") == wanted
+    return vectors.withColumn("vector", F.when(good, F.col("vector")).otherwise(F.raise_error(F.concat(F.lit(f"expected {wanted} dimensions, got "), F.size("vector").cast("string")))))
+
+
+def search_texts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits (qid, id, score, rank) with the chunks' content (SRH-10); hits of unknown chunks are left out."""
+    return hits.join(chunks.select("id", "content"), "id")

@@ -231,3 +231,13 @@ def group_spans(spans: DataFrame) -> DataFrame:
     root = F.coalesce(F.get(own, F.lit(0))["span_id"], F.col("s")[0]["span_id"])
     children = F.filter("s", lambda x: x["span_id"] != root)
     return groups.select("root_span_id", root.alias("root"), F.array_join(F.transform(children, lambda x: x["span_id"]), ",").alias("children"))
+
+
+def pivot_category(rating: Column, pivot: float = 0.6, downstream: float = 0.3) -> Column:
+    """pivot, downstream, trivial, or unrated without a rating (TRC-25)."""
+    return F.when(rating >= pivot, "pivot").when(rating >= downstream, "downstream").when(rating.isNull(), "unrated").otherwise("trivial")
+
+
+def pivot_summary(rows: DataFrame, digits: int = 6) -> DataFrame:
+    """Turns and their mean rating by category (TRC-25).  rows: rating."""
+    return rows.groupBy(pivot_category(F.col("rating")).alias("category")).agg(F.count("*").alias("n"), F.round(F.avg("rating"), digits).alias("mean_rating"))

@@ -26,12 +26,12 @@ def llm_01(spark, sf):
     return op.call(prompts, "prompt", backwards).select("item_id", "response")
 
 
-ANSWERS = """an AS (SELECT item_id, CASE item_id % 5 WHEN 0 THEN '<think>x</think>```json' || chr(10) || '{"question":"Q' || item_id || '","answer":"A"}' || chr(10) || '```' WHEN 1 THEN 'Question: Q' || item_id || chr(10) || 'Answer: yes, it is' WHEN 2 THEN 'cannot_generate' WHEN 3 THEN 'noise' ELSE '{"question":"","answer":"B"}' END AS x FROM benchmark)"""
+ANSWERS = """an AS (SELECT item_id, CASE item_id % 5 WHEN 0 THEN '<think>x</think>```json' || chr(10) || '{"question":"Q' || item_id || '","answer":"A"}' || chr(10) || '```' WHEN 1 THEN 'Question: Q' || item_id || chr(10) || 'Answer: yes, it is' WHEN 2 THEN 'cannot_generate' WHEN 3 THEN CASE WHEN item_id % 2 = 0 THEN 'noise' ELSE 'Why?' || chr(10) || chr(10) || ' So' || chr(10) || 'it is ' END ELSE '{"question":"","answer":"B"}' END AS x FROM benchmark)"""
 
 
-@query("qaf_07_response_parsing", f"""WITH {ANSWERS} SELECT item_id, CASE item_id % 5 WHEN 0 THEN 'Q' || item_id WHEN 1 THEN 'Q' || item_id END AS question, CASE item_id % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'yes, it is' WHEN 4 THEN 'B' END AS answer FROM an""")
+@query("qaf_07_response_parsing", f"""WITH {ANSWERS} SELECT item_id, CASE item_id % 5 WHEN 0 THEN 'Q' || item_id WHEN 1 THEN 'Q' || item_id WHEN 3 THEN CASE WHEN item_id % 2 = 1 THEN 'Why?' END END AS question, CASE item_id % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'yes, it is' WHEN 3 THEN CASE WHEN item_id % 2 = 1 THEN 'So' || chr(10) || 'it is' END WHEN 4 THEN 'B' END AS answer FROM an""")
 def qaf_07(spark, sf):
-    text = F.expr(r"""CASE item_id % 5 WHEN 0 THEN concat('<think>x</think>```json\n{"question":"Q', item_id, '","answer":"A"}\n```') WHEN 1 THEN concat('Question: Q', item_id, '\nAnswer: yes, it is') WHEN 2 THEN 'cannot_generate' WHEN 3 THEN 'noise' ELSE '{"question":"","answer":"B"}' END""")
+    text = F.expr(r"""CASE item_id % 5 WHEN 0 THEN concat('<think>x</think>```json\n{"question":"Q', item_id, '","answer":"A"}\n```') WHEN 1 THEN concat('Question: Q', item_id, '\nAnswer: yes, it is') WHEN 2 THEN 'cannot_generate' WHEN 3 THEN CASE WHEN item_id % 2 = 0 THEN 'noise' ELSE 'Why?\n\n So\nit is ' END ELSE '{"question":"","answer":"B"}' END""")
     return table(spark, sf, "benchmark").select("item_id", op.parse_qa(text).alias("p")).select("item_id", "p.*")
 
 

@@ -83,9 +83,9 @@ def qaf_14(spark, sf):
     return rows(spark, sf).select("id", op.grounding_verdict(F.col("j") > 3, F.col("refinements")).alias("verdict"))
 
 
-@query("qaf_17_hop_verdict", f"WITH {BASE} SELECT id, CASE WHEN j % 3 = 0 THEN 'valid' WHEN n_refs - j % 3 >= 2 THEN 'demoted' WHEN refinements < 2 THEN 'needs_refinement' ELSE 'rejected' END AS verdict FROM qa")
+@query("qaf_17_hop_verdict", f"WITH {BASE} SELECT id, CASE WHEN j % 3 = 0 AND j % 2 = 0 THEN 'valid' WHEN j % 3 = 0 AND refinements < 2 THEN 'needs_refinement' WHEN j % 3 = 0 THEN 'rejected' WHEN n_refs - j % 3 >= 2 THEN 'demoted' WHEN refinements < 2 THEN 'needs_refinement' ELSE 'rejected' END AS verdict FROM qa")
 def qaf_17(spark, sf):
-    return rows(spark, sf).select("id", op.hop_verdict(F.col("n_refs"), F.col("j") % 3, F.col("refinements")).alias("verdict"))
+    return rows(spark, sf).select("id", op.hop_verdict(F.col("n_refs"), F.col("j") % 3, F.col("refinements"), n_low=F.col("j") % 2).alias("verdict"))
 
 
 @query("qaf_18_difficulty", f"WITH {BASE} SELECT id, round((0.4 * least(n_refs / 4, 1.0) + 0.6 * (j / 10))::DOUBLE, 4) AS difficulty FROM qa")

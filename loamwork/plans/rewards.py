@@ -70,9 +70,10 @@ def rwd_06(spark, sf):
     return scored(spark, sf).select("conv_id", "turn", F.round("eff", 6).alias("efficiency"))
 
 
-@query("rwd_07_reward", f"WITH {BASE}, {SCORES} SELECT conv_id, turn, round((correct + 0.5 * precision + 0.5 * recall + 0.5 * eff + 0.1 * CASE WHEN correct > 0 THEN 1 - correct ELSE 0 END)::DOUBLE, 6) AS reward FROM e")
+@query("rwd_07_reward", f"WITH {BASE}, {SCORES} SELECT conv_id, turn, round((correct + CASE WHEN n_refs > 0 THEN 0.5 * precision + 0.5 * recall ELSE 0 END + 0.5 * eff + 0.1 * CASE WHEN correct > 0 THEN 1 - correct ELSE 0 END)::DOUBLE, 6) AS reward FROM e")
 def rwd_07(spark, sf):
-    total = op.reward(F.col("correct"), F.col("precision"), F.col("recall"), F.col("eff"), 1 - F.col("correct"))
+    precision, recall = op.env_citation_scores(op.citations(F.col("completion")), refs())
+    total = op.reward(F.col("correct"), precision, recall, F.col("eff"), 1 - F.col("correct"))
     return scored(spark, sf).select("conv_id", "turn", F.round(total, 6).alias("reward"))
 
 

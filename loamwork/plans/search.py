@@ -131,7 +131,7 @@ CHUNKS = "ch AS (SELECT doc_id AS id, source AS file, row_number() OVER (PARTITI
 
 def chunks(spark, sf):
     idx = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file"), idx.alias("idx"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file"), idx.alias("idx"), F.col("text").alias("content"))
 
 
 ASKED = r"""asked AS (SELECT * FROM (SELECT doc_id * 2 AS item_id, substr(trim(regexp_extract(text, '^([^.!?]*)', 1)), 1, 120) AS text FROM documents WHERE doc_id % 20 = 0
@@ -140,7 +140,7 @@ UNION ALL SELECT doc_id * 2 + 1, list_filter(w, lambda x: length(x) = list_max(l
 
 @query("srh_09_related", f"""WITH {ASKED}, {BM25.replace('FROM benchmark', 'FROM asked')}, {CHUNKS}, h AS (SELECT qid // 2 AS qid, qid AS query, id, score FROM bm WHERE rank <= 30),
 r AS (SELECT h.qid, h.id, count(DISTINCT query) AS n_queries, max(score) AS max_score, max((a.file = b.file)::INT) AS same_file FROM h JOIN ch a ON h.id = a.id JOIN ch b ON b.id = h.qid
-WHERE h.id <> h.qid AND NOT (a.file = b.file AND abs(a.idx - b.idx) <= 1) GROUP BY ALL)
+WHERE h.id <> h.qid AND (SELECT text FROM documents WHERE doc_id = h.id) <> (SELECT text FROM documents WHERE doc_id = h.qid) AND NOT (a.file = b.file AND abs(a.idx - b.idx) <= 1) GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n_queries DESC, same_file, max_score DESC, id)::INT AS rank FROM r) WHERE rank <= 10""")
 def srh_09(spark, sf):
     """Primaries are the stated query set, ids divisible by 20; each asks its first sentence and its longest capitalised phrase."""
@@ -158,30 +158,34 @@ def srh_11(spark, sf):
 
 @query("srh_12_chunk_count", "SELECT source, count(*) AS n FROM documents GROUP BY source")
 def srh_12(spark, sf):
-    return table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    return op.chunk_count(table(spark, sf, "documents"), "source")
 
 
 @query("srh_13_file_chunks", f"WITH {CHUNKS} SELECT file, count(*) AS n_chunks, string_agg(id, ',' ORDER BY idx) AS ids FROM ch GROUP BY file")
 def srh_13(spark, sf):
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("idx", "id"))), lambda s: s["id"].cast("string"))
-    return chunks(spark, sf).groupBy("file").agg(F.count("*").alias("n_chunks"), F.array_join(ordered, ",").alias("ids"))
+    return op.file_chunks(chunks(spark, sf)).withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
 
 
 @query("srh_14_content_projection", """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE '{"page_id":' || page_id || ',"url":"' || url || '"}' END AS content FROM pages""")
 def srh_14(spark, sf):
-    several = F.to_json(F.struct("page_id", "url"))
-    return table(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(several).alias("content"))
+    return table(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, op.content_of("url")).otherwise(op.content_of("page_id", "url")).alias("content"))
 
 
 @query("srh_16_field_renaming", "SELECT doc_id AS chunk_id, source AS file_path, n_chars AS char_count FROM documents")
 def srh_16(spark, sf):
     names = {"doc_id": "chunk_id", "source": "file_path", "n_chars": "char_count"}
-    return table(spark, sf, "documents").select(*names).withColumnsRenamed(names)
+    return op.renamed(table(spark, sf, "documents").select(*names), names)
 
 
 @query("srh_17_dimensions", "SELECT len(embedding)::INT AS dimension, count(*) AS n FROM embeddings GROUP BY 1")
 def srh_17(spark, sf):
-    return table(spark, sf, "embeddings").groupBy(F.size("embedding").alias("dimension")).agg(F.count("*").alias("n"))
+    return op.dimensions(op.checked_dimension(vectors(spark, sf), 64))
+
+
+@query("srh_10_search_texts", f"WITH {BM25} SELECT qid, id, rank, md5(text) AS content FROM bm JOIN documents ON id = doc_id WHERE rank <= 3")
+def srh_10(spark, sf):
+    found = op.search_texts(op.bm25(corpus(spark, sf), items(spark, sf), 3), corpus(spark, sf).withColumnRenamed("text", "content"))
+    return found.select("qid", "id", "rank", F.md5("content").alias("content"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in op.STOP_WORDS)

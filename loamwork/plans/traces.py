@@ -219,8 +219,7 @@ def trc_24(spark, sf):
 
 @query("trc_25_pivot_summary", f"WITH {MESSAGES}, {windows('m')}, {RATED} SELECT CASE WHEN rating >= 0.6 THEN 'pivot' WHEN rating >= 0.3 THEN 'downstream' WHEN rating IS NULL THEN 'unrated' ELSE 'trivial' END AS category, count(*) AS n, round(avg(rating), 6) AS mean_rating FROM q GROUP BY 1")
 def trc_25(spark, sf):
-    kind = F.expr("CASE WHEN rating >= 0.6 THEN 'pivot' WHEN rating >= 0.3 THEN 'downstream' WHEN rating IS NULL THEN 'unrated' ELSE 'trivial' END")
-    return rated(spark, sf).groupBy(kind.alias("category")).agg(F.count("*").alias("n"), F.round(F.avg("rating"), 6).alias("mean_rating"))
+    return op.pivot_summary(rated(spark, sf))
 
 
 @query("trc_13b_pinned_order", "SELECT conv_id, turn, md5('7|' || conv_id || '|' || turn) AS pin FROM conversations")
