@@ -183,3 +183,42 @@ def agent_confidence(fulfilled: Column, survived: Column, chain: Column) -> Colu
 def link_counters(log: DataFrame) -> DataFrame:
     """Queries tried, results found and connections made, by type (PRF-24).  log: type, results."""
     return log.groupBy("type").agg(F.count("*").alias("queries"), F.sum("results").alias("results"), F.count(F.when(F.col("results") > 0, 1)).alias("connected"))
+
+
+def page_scores(pages: DataFrame, names: DataFrame, anchors: DataFrame) -> DataFrame:
+    """What a page is worth to a primary: pid, title, score (WIK-06).
+
+    pages: title, ids (chunks that it was made of); names: title, name; anchors:
+    pid, id, text, primary (true for the primary, false for its secondaries).  A
+    name of three characters or more in the primary counts 2, in a secondary 1;
+    a page made of the primary 3 more, of a secondary 1.5.  Names stand anywhere
+    in a text, so each text meets the names once; pages worth nothing are left out.
+    """
+    low = names.select("title", F.lower("name").alias("name")).where(F.length("name") >= 3).distinct()
+    text = anchors.select("pid", "primary", F.lower("text").alias("text"))
+    held = text.join(low, F.expr("contains(text, name)")).select("pid", "title", F.when(F.col("primary"), 2.0).otherwise(1.0).alias("s"))
+    made = anchors.join(pages.select("title", F.explode("ids").alias("id")), "id").select("pid", "title", F.when(F.col("primary"), 3.0).otherwise(1.5).alias("s"))
+    return held.union(made).groupBy("pid", "title").agg(F.sum("s").alias("score"))
+
+
+def linked_candidates(scores: DataFrame, pairs: DataFrame, edges: DataFrame, chunks: DataFrame, *, least: int = 400, near: float = 0.55, digits: int = 6) -> DataFrame:
+    """Candidates of primaries by shared and new entities, proximity and file: pid, id, score (LNK-11).
+
+    scores: pid, id, shared, new (graph_scores); pairs: a, b, n_chunks
+    (co_occurrence); edges: name, id; chunks: id, file, text.  Proximity is the
+    mean co-occurrence of the two chunks' different entities, of a tenth of the
+    largest, at most 1.  Texts of fewer than *least* characters and those whose
+    words overlap the primary's by more than *near* are left out.
+    """
+    both = pairs.select("a", "b", "n_chunks").union(pairs.select("b", "a", "n_chunks"))
+    peak = pairs.agg(F.greatest(F.coalesce(F.max("n_chunks"), F.lit(0)) * 0.1, F.lit(1.0)).alias("peak"))
+    p = chunks.select(F.col("id").alias("pid"), F.col("file").alias("pfile"), F.col("text").alias("ptext"))
+    rows = scores.join(chunks, "id").where(F.length("text") >= least).join(p, "pid")
+    overlap = jaccard(token_set(F.col("ptext")), token_set(F.col("text")))
+    rows = cut(rows.where(overlap <= near).select("pid", "id", "shared", "new", (F.col("file") != F.col("pfile")).cast("int").alias("apart")))
+    mine, theirs = edges.select(F.col("id").alias("pid"), F.col("name").alias("x")), edges.select("id", F.col("name").alias("y"))
+    met = rows.select("pid", "id").join(mine, "pid").join(theirs, "id").where("x <> y").join(both.select(F.col("a").alias("x"), F.col("b").alias("y"), "n_chunks"), ["x", "y"], "left")
+    mean = met.groupBy("pid", "id").agg((F.sum(F.coalesce("n_chunks", F.lit(0))) / F.count("*")).alias("mean")).join(F.broadcast(peak))
+    close = mean.select("pid", "id", F.least(F.lit(1.0), F.col("mean") / F.col("peak")).alias("close"))
+    total = 0.3 * F.col("shared") + 0.3 * F.col("new") + 0.2 * F.coalesce("close", F.lit(0.0)) + 0.2 * F.col("apart")
+    return rows.join(close, ["pid", "id"], "left").select("pid", "id", F.round(total, digits).alias("score"))

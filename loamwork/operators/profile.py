@@ -87,19 +87,33 @@ def kind(name: Column) -> Column:
     return F.when(code, "code_pattern").when(capital, "entity").otherwise("domain_term")
 
 
+def _inside_words(tokens: DataFrame, names: DataFrame, most: int = 5) -> DataFrame:
+    """(token, name) where a word holds a name (low).  An equi-join on pieces of the word of as many characters as the name, *most* at most."""
+    out = None
+    for n in range(1, most + 1):
+        fits = F.length("low") >= n if n == most else F.length("low") == n
+        keyed = names.where(fits).select("name", "low", F.substring("low", 1, n).alias("key"))
+        pieces = F.array_distinct(F.expr(f"transform(sequence(1, length(token) - {n - 1}), i -> substr(token, i, {n}))"))
+        cut_up = tokens.where(F.length("token") >= n).select("token", F.explode(pieces).alias("key"))
+        found = cut_up.join(keyed, "key").where(F.expr("contains(token, low)")).select("token", "name")
+        out = found if out is None else out.union(found)
+    return out.distinct()
+
+
 def entity_edges(chunks: DataFrame, entities: DataFrame) -> DataFrame:
     """(name, id) where a chunk's text holds an entity's name, regardless of case (PRF-10).
 
     A name may stand inside a word.  One of word characters only stands inside a
     single word, so it is searched in each distinct word once and joined with
-    the chunks that hold the word; other names are searched in every text.
+    the chunks that hold the word: by the name's first characters, which the
+    word must hold, too.  Other names are searched in every text.
     """
     names = entities.select("name", F.lower("name").alias("low"), F.lower("name").rlike(r"^[\p{L}\p{N}_]+$").alias("word"))
     tokens = chunks.select("id", F.explode(F.array_distinct(words(F.col("text")))).alias("token"))
-    holds = tokens.select("token").distinct().join(F.broadcast(names.where("word")), F.expr("contains(token, low)")).select("token", "name")
+    holds = _inside_words(tokens.select("token").distinct(), names.where("word"))
     inside = tokens.join(holds, "token").select("name", "id").distinct()
     low = chunks.select("id", F.lower("text").alias("t"))
-    rest = low.join(F.broadcast(names.where("NOT word")), F.expr("contains(t, low)")).select("name", "id")
+    rest = low.join(names.where("NOT word"), F.expr("contains(t, low)")).select("name", "id")
     return inside.union(rest)
 
 
@@ -160,21 +174,72 @@ def lexical_diversity(text: Column) -> Column:
     return F.size(F.array_distinct(w)) / F.greatest(F.size(w), F.lit(1))
 
 
+def given(column: Column) -> Column:
+    """Whether a metadata value counts as there: null, empty and nought do not."""
+    return column.isNotNull() & ~column.cast("string").isin("", "0")
+
+
+def density(count: Column, text: Column) -> Column:
+    """Of so many per 1000 characters (PRF-15, 19)."""
+    return count / F.greatest(F.length(text) / 1000, F.lit(0.001))
+
+
 def census(chunks: DataFrame, digits: int = 6) -> DataFrame:
-    """One row: prevalences, exclusive quartiles of length and lexical diversity, regime (PRF-15).
+    """One row: prevalences, exclusive quartiles of length, entity density and lexical diversity, regime (PRF-15).
 
-    chunks: text, header, doc_key, idx, date.  A falsy value counts as missing,
-    an index of 0 too.
+    chunks: text, header, doc_key, idx, date, n_entities (names that stand in
+    the text, each once).  A falsy value counts as missing, an index of 0 too;
+    quartiles of the length are cut to whole numbers.  Fewer than five chunks
+    tell nothing: everything is nought and the regime unstructured.
     """
-    rows = cut(chunks.select(F.length("text").alias("length"), lexical_diversity(F.col("text")).alias("diversity"), "header", "doc_key", "idx", "date"))
-    has = lambda c: F.round(F.avg(F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != "") & (F.col(c).cast("string") != "0"), 1.0).otherwise(0.0)), digits)
-    sequence = F.round(F.avg(F.when((F.coalesce("doc_key", F.lit("")) != "") & (F.coalesce("idx", F.lit(0)) != 0), 1.0).otherwise(0.0)), digits)
-    out = rows.agg(has("header").alias("header_share"), has("doc_key").alias("doc_share"), has("date").alias("date_share"), sequence.alias("sequence_share"))
-    for c in ("length", "diversity"):
+    text = F.coalesce("text", F.lit(""))
+    rows = cut(chunks.select(F.length(text).alias("length"), density(F.coalesce("n_entities", F.lit(0)), text).alias("entity"), lexical_diversity(text).alias("diversity"), "header", "doc_key", "idx", "date"))
+    share = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("int")), digits)
+    sequence = given(F.col("doc_key")) & given(F.col("idx"))
+    out = rows.agg(F.count("*").alias("n_chunks"), share(given(F.col("header"))).alias("header_share"), share(given(F.col("doc_key"))).alias("doc_share"), share(given(F.col("date"))).alias("date_share"), share(sequence).alias("sequence_share"))
+    for c in ("length", "entity", "diversity"):
         found = exclusive_quantiles(rows, c, [0.25, 0.5, 0.75])
-        out = out.join(F.broadcast(found.select(*(F.round(f"q{i}", digits).alias(f"{c}_p{q}") for i, q in enumerate((25, 50, 75))))))
-    regime = F.when(F.col("header_share") > 0.7, "structured").when(F.col("header_share") >= 0.2, "mixed").when((F.col("doc_share") > 0.5) & (F.col("date_share") > 0.5), "mixed").otherwise("unstructured")
-    return out.withColumn("regime", regime)
+        value = lambda i: F.floor(f"q{i}").cast("double") if c == "length" else F.round(f"q{i}", digits)  # noqa: B023, E731
+        out = out.join(F.broadcast(found.select(*(value(i).alias(f"{c}_p{q}") for i, q in enumerate((25, 50, 75))))))
+    known = F.col("n_chunks") >= 5
+    regime = F.when(~known, "unstructured").when(F.col("header_share") > 0.7, "structured").when(F.col("header_share") >= 0.2, "mixed").when((F.col("doc_share") > 0.5) & (F.col("date_share") > 0.5), "mixed").otherwise("unstructured")
+    return out.withColumn("regime", regime).select("n_chunks", *(F.when(known, F.col(c)).otherwise(0.0).alias(c) for c in out.columns if c != "n_chunks"), "regime")
+
+
+def header_prevalence(chunks: DataFrame, digits: int = 6) -> DataFrame:
+    """One row: the share of chunks with a header (PRF-16)."""
+    return chunks.agg(F.round(F.avg(given(F.col("header")).cast("int")), digits).alias("header_share"))
+
+
+def band(stats: DataFrame, low: float = 0.005, high: float = 0.8) -> DataFrame:
+    """Names neither too rare nor too common to tell chunks apart (PRF-14).  stats: name, df."""
+    return stats.where((F.col("df") >= low) & (F.col("df") < high)).select("name")
+
+
+def capabilities(chunks: DataFrame) -> DataFrame:
+    """One row: what chunks tell of, and the reasoning modes that allows (PRF-22).  chunks: doc_key, header, idx, date."""
+    has = lambda c: F.coalesce(F.bool_or(F.col(c).isNotNull()), F.lit(False))
+    found = chunks.agg(has("doc_key").alias("has_docs"), has("header").alias("has_headers"), has("idx").alias("has_sequence"), has("date").alias("has_dates"))
+    modes = F.array_compact(F.array(F.lit("factual"), F.lit("inference"), F.when(F.col("has_dates"), "temporal"), F.when(F.col("has_sequence"), "sequential")))
+    return found.withColumn("modes", F.array_join(modes, ","))
+
+
+def signals(rows: DataFrame, facts: DataFrame, n_docs: DataFrame) -> DataFrame:
+    """The six signals of each chunk's suitability, 0 to 1 (PRF-19).
+
+    rows: id, text, header, doc_key, idx, date, quality (sum over the names that
+    stand in the text), idf (mean of its five best words); facts: the census;
+    n_docs: n.  Entities, diversity and length are placed among the quartiles.
+    """
+    place = lambda c, v: normalised(v, F.col(f"{c}_p25"), F.col(f"{c}_p50"), F.col(f"{c}_p75"))
+    text = F.coalesce("text", F.lit(""))
+    rich = sum((F.coalesce(given(F.col(c)), F.lit(False)).cast("int") for c in ("header", "doc_key", "date")), F.lit(0)) + F.coalesce(given(F.col("doc_key")) & given(F.col("idx")), F.lit(False)).cast("int")
+    joined = rows.join(F.broadcast(facts)).join(F.broadcast(n_docs))
+    top = F.log(F.greatest(F.col("n"), F.lit(2)))
+    return joined.select(
+        "id", "regime", "header_share", (rich / 4).alias("metadata"), place("entity", density(F.coalesce("quality", F.lit(0.0)), text)).alias("entities"), place("diversity", lexical_diversity(text)).alias("diversity"),
+        place("length", F.length(text)).alias("length"), F.least(F.lit(1.0), F.coalesce("idf", F.lit(0.0)) / F.greatest(top, F.lit(0.001))).alias("tfidf"), answerability(F.col("text")).alias("answerability"),
+    )
 
 
 def suitability(signals: dict[str, Column], regime: Column, header_share: Column) -> Column:
@@ -198,12 +263,35 @@ def profile_sample(chunks: DataFrame, pool: int, n_docs: int, seed: int = 42) ->
     return rows.withColumn("stage", first).orderBy("stage", "pin", "id").limit(pool).select("id", "doc_key", "stage")
 
 
-def auto_tune(census_row: DataFrame, target: float = 0.7) -> DataFrame:
-    """Multi-hop share that the corpus can link (PRF-25)."""
+def auto_tune(facts: DataFrame, suitable: DataFrame, *, target: float = 0.7, hops: tuple[float, float] = (0.6, 0.4), modes: dict[str, float] | None = None, samples: int = 100) -> DataFrame:
+    """Settings that a corpus can carry, as one row (PRF-25).
+
+    facts: the census; suitable: share (of chunks that score above 0.4).  hops
+    are the weights of two hops and of more.  The multi-hop share falls with
+    linkability; poor or short chunks take fewer hops; samples are at most twice
+    the suitable chunks; temporal and sequential modes go below 5 % of chunks
+    and are held to their share below 30 %, what they lose going to the others
+    by weight.
+    """
+    modes = modes or {"factual": 0.5, "temporal": 0.25, "sequential": 0.25}
+    rows = facts.join(F.broadcast(suitable.select(F.coalesce("share", F.lit(0.0)).alias("share"))))
     base = F.expr("CASE regime WHEN 'structured' THEN 1.0D WHEN 'mixed' THEN 0.6D ELSE 0.3D END")
     link = F.least(F.lit(1.0), base + F.when(F.col("entity_p25") > 0, 0.15).otherwise(0.0))
-    share = F.greatest(F.lit(0.3), target * link)
-    return census_row.select("regime", F.round(link, 2).alias("linkability"), F.round(share, 2).alias("multi_hop"), F.round(1 - F.round(share, 2), 2).alias("lookup"))
+    multi = F.greatest(F.lit(0.3), target * link)
+    two, more = hops
+    few = F.when(F.col("share") < 0.3, 0.0).when(((F.col("share") < 0.5) | (F.col("length_p50") < 600)) & F.lit(more > 0.2), more / 2).otherwise(more)
+    pool = F.floor(F.col("n_chunks") * F.col("share"))
+
+    def held(name: str, seen: str) -> Column:
+        w = modes.get(name, 0.0)
+        return F.when(F.col(seen) < 0.05, 0.0).when(F.col(seen) < 0.3, F.least(F.lit(w), F.col(seen))).otherwise(w)
+
+    kept = {k: F.lit(w) for k, w in modes.items()} | {k: held(k, c) for k, c in (("temporal", "date_share"), ("sequential", "sequence_share")) if k in modes}
+    total = sum(kept.values(), F.lit(0.0))
+    return rows.select(
+        "regime", F.round(link, 2).alias("linkability"), F.round(multi, 2).alias("multi_hop"), F.round(1 - F.round(multi, 2), 2).alias("lookup"), F.round((two + more) - few, 4).alias("two_hops"), F.round(few, 4).alias("more_hops"),
+        F.when(pool > 0, F.least(F.lit(samples), 2 * pool)).otherwise(samples).cast("bigint").alias("samples"), *(F.round(F.when(total > 0, c / total).otherwise(0.0), 4).alias(k) for k, c in kept.items()),
+    )
 
 
 def eligible_seeds(scores: DataFrame, seed: int = 42, wanted: int = 20) -> DataFrame:

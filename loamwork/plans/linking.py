@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import linking as op
 from ..operators import profile as prof
-from .profile import EDGES, QUALITY, chunks, entities, total
+from .profile import EDGES, PAIRS, QUALITY, chunks, entities, total
 from .registry import query, table
 
 HEAD = "hd AS (SELECT doc_id AS id, source AS file, text FROM documents)"
@@ -102,6 +102,32 @@ def lnk_11(spark, sf):
     return op.graph_scores(edges, quality, digits=9)
 
 
+@query("lnk_11b_linked_candidates", f"""WITH {EDGES}, {PAIRS}, k AS (SELECT ed.name, id FROM ed), z AS (SELECT id, count(*) AS n FROM k GROUP BY id), pr2 AS (SELECT min(doc_id) AS pid FROM documents GROUP BY source),
+s AS (SELECT x.id AS pid, y.id, count(*) AS s FROM k x JOIN pr2 ON x.id = pid JOIN k y ON x.name = y.name AND x.id <> y.id GROUP BY ALL), bo AS (SELECT a, b, n_chunks AS c FROM pr UNION ALL SELECT b, a, n_chunks FROM pr),
+r AS (SELECT s.pid, s.id, 0.5 * s.s / p.n AS shared, 0.5 * (z.n - s.s) / z.n AS new, (d.source <> e.source)::INT AS apart FROM s JOIN z p ON s.pid = p.id JOIN z ON s.id = z.id JOIN documents d ON d.doc_id = s.id JOIN documents e ON e.doc_id = s.pid WHERE length(d.text) >= 400
+ AND (SELECT len(list_intersect(u, v)) / (len(u) + len(v) - len(list_intersect(u, v))) FROM (SELECT {TOK.format('d.text')} AS u, {TOK.format('e.text')} AS v)) <= 0.55),
+m AS (SELECT r.pid, r.id, sum(coalesce(c, 0)) / count(*) AS mean FROM r JOIN k x ON x.id = r.pid JOIN k y ON y.id = r.id AND x.name <> y.name LEFT JOIN bo ON a = x.name AND b = y.name GROUP BY ALL)
+SELECT r.pid, r.id, round((0.3 * shared + 0.3 * new + 0.2 * coalesce(least(1.0, mean / greatest((SELECT max(c) FROM bo) * 0.1, 1.0)), 0) + 0.2 * apart)::DOUBLE, 9) AS score FROM r LEFT JOIN m ON m.pid = r.pid AND m.id = r.id""")
+def lnk_11b(spark, sf):
+    d = docs(spark, sf)
+    edges = prof.entity_edges(chunks(spark, sf), entities(spark, sf))
+    primary = d.groupBy("file").agg(F.min("id").alias("id")).select("id")
+    scores = op.graph_scores(edges, edges.select("name", F.lit(0.5).alias("q")).distinct(), primary, digits=12)
+    return op.linked_candidates(scores, prof.co_occurrence(edges), edges, d, digits=9)
+
+
+@query("wik_06b_page_scores", """WITH a AS (SELECT p.pid, d.doc_id AS id, lower(d.text) AS t, d.doc_id = p.pid AS first FROM (SELECT min(doc_id) AS pid, source FROM documents GROUP BY source) p JOIN documents d ON d.source = p.source AND d.doc_id <= p.pid + 60),
+n AS (SELECT DISTINCT lang AS title, lower(substr(text, 1, 3 + doc_id % 3)) AS name FROM documents WHERE doc_id % 10 = 0), h AS (SELECT pid, title, CASE WHEN first THEN 2.0 ELSE 1.0 END AS s FROM a JOIN n ON length(name) >= 3 AND contains(t, name)),
+m AS (SELECT pid, lang AS title, CASE WHEN first THEN 3.0 ELSE 1.5 END AS s FROM a JOIN documents ON doc_id = id WHERE doc_id % 3 = 0) SELECT pid, title, sum(s)::DOUBLE AS score FROM (SELECT * FROM h UNION ALL SELECT * FROM m) GROUP BY ALL""")
+def wik_06b(spark, sf):
+    d = table(spark, sf, "documents")
+    pages = d.where("doc_id % 3 = 0").groupBy(F.col("lang").alias("title")).agg(F.collect_list("doc_id").alias("ids"))
+    names = d.where("doc_id % 10 = 0").select(F.col("lang").alias("title"), F.expr("substr(text, 1, cast(3 + doc_id % 3 as int))").alias("name"))
+    first = d.groupBy("source").agg(F.min("doc_id").alias("pid"))
+    anchors = d.join(first, "source").where("doc_id <= pid + 60").select("pid", F.col("doc_id").alias("id"), "text", (F.col("doc_id") == F.col("pid")).alias("primary"))
+    return op.page_scores(pages, names, anchors)
+
+
 @query("lnk_14_rollout_parsing", r"""WITH t AS (SELECT item_id, '<tool_call>{"name":"search","arguments":{"query":"' || regexp_extract(text, '[A-Za-z]+') || '"}}</tool_call> x <tool_call>bad</tool_call> <Evidence_Chain> ' || substr(text, 1, 20) || ' </evidence_chain>' AS x FROM benchmark)
 SELECT item_id, array_to_string(list_filter(list_transform(regexp_extract_all(x, '(?s)<tool_call>(.*?)</tool_call>', 1), lambda c: CASE WHEN json_valid(c) THEN json_extract_string(c, '$.arguments.query') END), lambda q: q IS NOT NULL AND q <> ''), ';') AS queries, trim(regexp_extract(x, '(?is)<evidence_chain>(.*?)</evidence_chain>', 1)) AS chain FROM t""")
 def lnk_14(spark, sf):

@@ -110,27 +110,36 @@ def prf_13(spark, sf):
 
 @query("prf_14_band", f"WITH {EDGES}, g AS (SELECT name, count(*) / (SELECT count(*) FROM documents) AS df FROM ed GROUP BY name) SELECT name FROM g WHERE df >= 0.005 AND df < 0.8")
 def prf_14(spark, sf):
-    g = op.graph_stats(op.entity_edges(chunks(spark, sf), entities(spark, sf)), total(spark, sf), 12)
-    return g.where((F.col("df") >= 0.005) & (F.col("df") < 0.8)).select("name")
+    return op.band(op.graph_stats(op.entity_edges(chunks(spark, sf), entities(spark, sf)), total(spark, sf), 12))
 
 
-CEN = rf"""cr AS (SELECT doc_id AS id, length(text) AS length, len(list_distinct(w)) / greatest(len(w), 1) AS diversity, CASE WHEN doc_id % 4 = 0 THEN source END AS header, source AS doc_key, doc_id // 20 AS idx, CASE WHEN doc_id % 3 > 0 THEN '2024-01-01' END AS date FROM (SELECT *, {W} AS w FROM documents)),
-o1 AS (SELECT length AS v, row_number() OVER (ORDER BY length) AS k, count(*) OVER () AS n FROM cr), o2 AS (SELECT diversity AS v, row_number() OVER (ORDER BY diversity) AS k, count(*) OVER () AS n FROM cr)"""
+CEN = rf"""{EDGES}, ne AS (SELECT id, count(*) AS k, sum(CASE WHEN length(name) % 2 = 0 THEN 0.9 ELSE 0.5 END) AS q FROM ed GROUP BY id),
+cr AS (SELECT d.doc_id AS id, length(text) AS length, coalesce(k, 0) / greatest(length(text) / 1000, 0.001) AS entity, (coalesce(q, 0) / greatest(length(text) / 1000, 0.001))::DOUBLE AS quality, len(list_distinct(w)) / greatest(len(w), 1) AS diversity, CASE WHEN d.doc_id % 4 = 0 THEN source END AS header, source AS doc_key, d.doc_id // 20 AS idx, CASE WHEN d.doc_id % 3 > 0 THEN '2024-01-01' END AS date FROM (SELECT *, {W} AS w FROM documents) d LEFT JOIN ne ON ne.id = d.doc_id),
+o1 AS (SELECT length AS v, row_number() OVER (ORDER BY length) AS k, count(*) OVER () AS n FROM cr), o2 AS (SELECT diversity AS v, row_number() OVER (ORDER BY diversity) AS k, count(*) OVER () AS n FROM cr), o3 AS (SELECT entity AS v, row_number() OVER (ORDER BY entity) AS k, count(*) OVER () AS n FROM cr)"""
 
 
 def exclusive(t: str, p: float) -> str:
     low = f"greatest(1, least(n - 1, floor({p} * (n + 1))))"
-    return f"(SELECT round(lo + w * (hi - lo), 6) FROM (SELECT max(v) FILTER (k = {low}) AS lo, max(v) FILTER (k = {low} + 1) AS hi, any_value({p}::DOUBLE * (n + 1) - {low}) AS w FROM {t}))"
+    value = "floor(lo + w * (hi - lo))" if t == "o1" else "round(lo + w * (hi - lo), 6)"
+    return f"(SELECT {value} FROM (SELECT max(v) FILTER (k = {low}) AS lo, max(v) FILTER (k = {low} + 1) AS hi, any_value({p}::DOUBLE * (n + 1) - {low}) AS w FROM {t}))"
 
 
-QUARTILES = ", ".join(f"{exclusive(t, q / 100)} AS {c}_p{q}" for t, c in (("o1", "length"), ("o2", "diversity")) for q in (25, 50, 75))
-CENSUS = f"""cs AS (SELECT round(avg((header IS NOT NULL)::INT), 6) AS header_share, round(avg((doc_key IS NOT NULL)::INT), 6) AS doc_share, round(avg((date IS NOT NULL)::INT), 6) AS date_share, round(avg((idx <> 0)::INT), 6) AS sequence_share, {QUARTILES} FROM cr),
+QUARTILES = ", ".join(f"{exclusive(t, q / 100)} AS {c}_p{q}" for t, c in (("o1", "length"), ("o3", "entity"), ("o2", "diversity")) for q in (25, 50, 75))
+CENSUS = f"""cs AS (SELECT count(*) AS n_chunks, round(avg((header IS NOT NULL)::INT), 6) AS header_share, round(avg((doc_key IS NOT NULL)::INT), 6) AS doc_share, round(avg((date IS NOT NULL)::INT), 6) AS date_share, round(avg((idx <> 0)::INT), 6) AS sequence_share, {QUARTILES} FROM cr),
 ce AS (SELECT *, CASE WHEN header_share > 0.7 THEN 'structured' WHEN header_share >= 0.2 THEN 'mixed' WHEN doc_share > 0.5 AND date_share > 0.5 THEN 'mixed' ELSE 'unstructured' END AS regime FROM cs)"""
 
 
+def place_sql(value: str, c: str) -> str:
+    return f"""CASE WHEN {value} <= {c}_p25 THEN 0.25 * {value} / greatest({c}_p25, 1e-9) WHEN {value} <= {c}_p50 THEN 0.25 + 0.25 * ({value} - {c}_p25) / greatest({c}_p50 - {c}_p25, 1e-9)
+WHEN {value} <= {c}_p75 THEN 0.5 + 0.25 * ({value} - {c}_p50) / greatest({c}_p75 - {c}_p50, 1e-9) ELSE least(1.0, 0.75 + 0.25 * ({value} - {c}_p75) / greatest({c}_p75, 1e-9)) END"""
+
+
 def census_rows(spark, sf):
     rows = chunks(spark, sf)
-    return rows.select("id", "text", F.when(F.col("id") % 4 == 0, F.col("source")).alias("header"), F.col("source").alias("doc_key"), F.floor(F.col("id") / 20).alias("idx"), F.when(F.col("id") % 3 > 0, "2024-01-01").alias("date"))
+    found = op.entity_edges(rows, entities(spark, sf)).withColumn("q", F.when(F.length("name") % 2 == 0, 0.9).otherwise(0.5).cast("decimal(3,1)"))
+    counts = found.groupBy("id").agg(F.count("*").alias("n_entities"), F.sum("q").cast("double").alias("quality"))
+    rows = rows.join(counts, "id", "left")
+    return rows.select("id", "text", F.when(F.col("id") % 4 == 0, F.col("source")).alias("header"), F.col("source").alias("doc_key"), F.floor(F.col("id") / 20).alias("idx"), F.when(F.col("id") % 3 > 0, "2024-01-01").alias("date"), "n_entities", "quality")
 
 
 @query("prf_15_census", f"WITH {CEN}, {CENSUS} SELECT * FROM ce")
@@ -140,11 +149,10 @@ def prf_15(spark, sf):
 
 @query("prf_16_header_prevalence", "SELECT round(avg((doc_id % 4 = 0)::INT), 6) AS header_share FROM documents")
 def prf_16(spark, sf):
-    return census_rows(spark, sf).agg(F.round(F.avg(F.col("header").isNotNull().cast("int")), 6).alias("header_share"))
+    return op.header_prevalence(table(spark, sf, "documents").select(F.when(F.col("doc_id") % 4 == 0, F.col("source")).alias("header")))
 
 
-@query("prf_17_percentiles", f"""WITH {CEN}, {CENSUS} SELECT id, round(CASE WHEN length <= length_p25 THEN 0.25 * length / greatest(length_p25, 1e-9) WHEN length <= length_p50 THEN 0.25 + 0.25 * (length - length_p25) / greatest(length_p50 - length_p25, 1e-9)
-WHEN length <= length_p75 THEN 0.5 + 0.25 * (length - length_p50) / greatest(length_p75 - length_p50, 1e-9) ELSE least(1.0, 0.75 + 0.25 * (length - length_p75) / greatest(length_p75, 1e-9)) END, 6) AS place FROM cr, ce""")
+@query("prf_17_percentiles", f"WITH {CEN}, {CENSUS} SELECT id, round({place_sql('length', 'length')}, 6) AS place FROM cr, ce")
 def prf_17(spark, sf):
     rows = census_rows(spark, sf)
     place = op.normalised(F.length("text"), F.col("length_p25"), F.col("length_p50"), F.col("length_p75"))
@@ -163,14 +171,26 @@ def prf_18(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.round(op.answerability(F.col("text")), 6).alias("answerability"))
 
 
-@query("prf_19_suitability", f"""WITH {CEN}, {CENSUS}, s AS (SELECT doc_id AS id, ({ANSWER})::DOUBLE AS ans FROM documents)
-SELECT id, round(0.1::DOUBLE * (((header IS NOT NULL)::INT + (doc_key IS NOT NULL)::INT + (date IS NOT NULL)::INT) / 4) + 0.2::DOUBLE * 0.5::DOUBLE + 0.15::DOUBLE * diversity + 0.1::DOUBLE * least(1.0::DOUBLE, length / 2000) + 0.15::DOUBLE * 0.25::DOUBLE + 0.3::DOUBLE * ans, 6) AS score FROM cr JOIN s USING (id), ce WHERE regime = 'mixed'""")
+IDF = "ti AS (SELECT id, avg(ln(n / df)) AS idf FROM (SELECT id, token FROM kp WHERE rank <= 5) JOIN kdf USING (token), nn GROUP BY id)"
+SUIT = f"""{CEN}, {CENSUS}, {KEY}, {IDF}, an AS (SELECT doc_id AS id, ({ANSWER})::DOUBLE AS ans FROM documents),
+su AS (SELECT id, 0.1::DOUBLE * (((header IS NOT NULL)::INT + (doc_key IS NOT NULL)::INT + (date IS NOT NULL)::INT + (idx <> 0)::INT) / 4) + 0.2::DOUBLE * ({place_sql('quality', 'entity')}) + 0.15::DOUBLE * ({place_sql('diversity', 'diversity')}) + 0.1::DOUBLE * ({place_sql('length', 'length')})
+ + 0.15::DOUBLE * least(1.0, coalesce(idf, 0) / greatest(ln(greatest(n, 2)), 0.001)) + 0.3::DOUBLE * ans AS score FROM cr JOIN an USING (id) LEFT JOIN ti USING (id), ce, nn WHERE regime = 'mixed')"""
+
+
+def suitability(spark, sf):
+    rows, n = census_rows(spark, sf), total(spark, sf)
+    words = op.keyphrases(chunks(spark, sf))
+    df = op.token_df(chunks(spark, sf), 4).join(F.broadcast(n)).select("token", F.log(F.col("n") / F.col("df")).alias("idf"))
+    idf = words.join(df, "token").groupBy("id").agg(F.avg("idf").alias("idf"))
+    facts = op.census(rows)
+    s = op.signals(rows.join(idf, "id", "left"), facts, n)
+    names = ("metadata", "entities", "diversity", "length", "tfidf", "answerability")
+    return facts, s.select("id", F.round(op.suitability({k: F.col(k) for k in names}, F.col("regime"), F.col("header_share")), 6).alias("score"))
+
+
+@query("prf_19_suitability", f"WITH {SUIT} SELECT id, round(score, 6) AS score FROM su")
 def prf_19(spark, sf):
-    rows = census_rows(spark, sf)
-    given = sum((F.col(c).isNotNull().cast("int") for c in ("header", "doc_key", "date")), F.lit(0))
-    signals = {"metadata": given / 4, "entities": F.lit(0.5), "diversity": op.lexical_diversity(F.col("text")), "length": F.least(F.lit(1.0), F.length("text") / 2000), "tfidf": F.lit(0.25), "answerability": op.answerability(F.col("text"))}
-    joined = rows.join(F.broadcast(op.census(rows).select("regime", "header_share")))
-    return joined.select("id", F.round(op.suitability(signals, F.col("regime"), F.col("header_share")), 6).alias("score"))
+    return suitability(spark, sf)[1]
 
 
 @query("prf_20_profile_sample", """WITH r AS (SELECT doc_id AS id, source AS doc_key, md5('42|' || doc_id) AS pin, row_number() OVER (PARTITION BY source ORDER BY md5('42|' || doc_id), doc_id) AS k FROM documents)
@@ -179,17 +199,19 @@ def prf_20(spark, sf):
     return op.profile_sample(chunks(spark, sf).withColumn("doc_key", F.col("source")), 200, 20)
 
 
-@query("prf_22_capabilities", "SELECT max(source IS NOT NULL) AS has_docs, max(doc_id % 4 = 0) AS has_headers, true AS has_sequence, max(doc_id % 3 > 0) AS has_dates FROM documents")
+@query("prf_22_capabilities", "SELECT max(source IS NOT NULL) AS has_docs, max(doc_id % 4 = 0) AS has_headers, true AS has_sequence, max(doc_id % 3 > 0) AS has_dates, 'factual,inference,temporal,sequential' AS modes FROM documents")
 def prf_22(spark, sf):
-    rows = census_rows(spark, sf)
-    has = lambda c, name: F.bool_or(F.col(c).isNotNull()).alias(name)
-    return rows.agg(has("doc_key", "has_docs"), has("header", "has_headers"), has("idx", "has_sequence"), has("date", "has_dates"))
+    i = F.col("doc_id")
+    return op.capabilities(table(spark, sf, "documents").select(F.col("source").alias("doc_key"), F.when(i % 4 == 0, F.col("source")).alias("header"), F.floor(i / 20).alias("idx"), F.when(i % 3 > 0, "2024-01-01").alias("date")))
 
 
-@query("prf_25_auto_tune", f"""WITH {CEN}, {CENSUS}, x AS (SELECT regime, least(1.0, CASE regime WHEN 'structured' THEN 1.0 WHEN 'mixed' THEN 0.6 ELSE 0.3 END + CASE WHEN diversity_p25 > 0 THEN 0.15 ELSE 0.0 END)::DOUBLE AS l FROM ce)
-SELECT regime, round(l, 2) AS linkability, round(greatest(0.3, 0.7 * l), 2) AS multi_hop, round(1 - round(greatest(0.3, 0.7 * l), 2), 2) AS lookup FROM x""")
+@query("prf_25_auto_tune", f"""WITH {SUIT}, sh AS (SELECT avg((round(score, 6) > 0.4)::INT) AS share FROM su), x AS (SELECT *, least(1.0, CASE regime WHEN 'structured' THEN 1.0 WHEN 'mixed' THEN 0.6 ELSE 0.3 END + CASE WHEN entity_p25 > 0 THEN 0.15 ELSE 0.0 END)::DOUBLE AS l,
+ CASE WHEN share < 0.3 THEN 0.0 WHEN share < 0.5 OR length_p50 < 600 THEN 0.2 ELSE 0.4 END::DOUBLE AS more, floor(n_chunks * share) AS pool, CASE WHEN date_share < 0.05 THEN 0 WHEN date_share < 0.3 THEN least(0.25, date_share) ELSE 0.25 END::DOUBLE AS t, CASE WHEN sequence_share < 0.05 THEN 0 WHEN sequence_share < 0.3 THEN least(0.25, sequence_share) ELSE 0.25 END::DOUBLE AS s FROM ce, sh)
+SELECT regime, round(l, 2) AS linkability, round(greatest(0.3, 0.7 * l), 2) AS multi_hop, round(1 - round(greatest(0.3, 0.7 * l), 2), 2) AS lookup, round(1.0 - more, 4) AS two_hops, round(more, 4) AS more_hops, CASE WHEN pool > 0 THEN least(100, 2 * pool) ELSE 100 END::BIGINT AS samples,
+ round(0.5 / (0.5 + t + s), 4) AS factual, round(t / (0.5 + t + s), 4) AS temporal, round(s / (0.5 + t + s), 4) AS sequential FROM x""")
 def prf_25(spark, sf):
-    return op.auto_tune(op.census(census_rows(spark, sf)).withColumnRenamed("diversity_p25", "entity_p25"))
+    facts, scores = suitability(spark, sf)
+    return op.auto_tune(facts, scores.agg(F.avg((F.col("score") > 0.4).cast("int")).alias("share")))
 
 
 @query("prf_27_eligible_seeds", f"""WITH s AS (SELECT doc_id AS id, round(({ANSWER})::DOUBLE, 6) AS score FROM documents), c AS (SELECT score AS cut FROM (SELECT score, row_number() OVER (ORDER BY score) AS k, count(*) OVER () AS n FROM s) WHERE k = n // 4 + 1)
