@@ -40,18 +40,20 @@ def candidates(hits: DataFrame, chunks: DataFrame, used: DataFrame, least: int =
     """Hits (pid, id, score) that can be linked: another chunk and file, long enough, unused (LNK-03).
 
     primaries (pid), where given, are few: their texts are broadcast, so that
-    the candidates' texts are not shuffled once per primary.
+    the candidates' texts are not shuffled once per primary.  The sets of words
+    (pw, w) are made once per text, before candidates and primaries meet.
     """
-    p = chunks.select(F.col("id").alias("pid"), F.col("file").alias("pfile"), F.col("text").alias("ptext"))
+    p = chunks.select(F.col("id").alias("pid"), F.col("file").alias("pfile"), F.col("text").alias("ptext"), token_set(F.col("text")).alias("pw"))
     if primaries is not None:
         p = F.broadcast(p.join(F.broadcast(primaries), "pid", "left_semi"))
-    rows = hits.where("pid <> id").groupBy("pid", "id").agg(F.max("score").alias("score")).join(chunks, "id").where(F.length("text") >= least)
+    rows = hits.where("pid <> id").groupBy("pid", "id").agg(F.max("score").alias("score"))
+    rows = rows.join(chunks.where(F.length("text") >= least).withColumn("w", token_set(F.col("text"))), "id")
     return rows.join(p, "pid").where("file <> pfile").join(used, "id", "left_anti")
 
 
 def coherent(rows: DataFrame, low: float = 0.15, high: float = 0.55) -> DataFrame:
     """Candidates whose words overlap the primary's enough, but not too much (LNK-04)."""
-    overlap = jaccard(token_set(F.col("ptext")), token_set(F.col("text")))
+    overlap = jaccard(F.col("pw"), F.col("w")) if "pw" in rows.columns else jaccard(token_set(F.col("ptext")), token_set(F.col("text")))
     return rows.withColumn("overlap", overlap).where(F.col("overlap").between(low, high))
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.greedy import cut
 from ..functions.sampling import pinned
 from ..functions.sets import jaccard, let, word_ngrams
 from ..functions.text import blank_split, words
@@ -205,19 +206,33 @@ def accept(rows: DataFrame, quotas: DataFrame) -> DataFrame:
 
 
 def _keyed(df: DataFrame, side: str) -> DataFrame:
-    rows = df.select(F.col("id").alias(side), word_ngrams(words(F.col("question")), 2).alias("b"))
-    rows = rows.select(side, F.transform(F.array_sort(F.transform("b", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), lambda s: s["x"]).alias(f"set_{side}"))
+    rows = df.select(F.col("id").alias(side), word_ngrams(words(F.col("question")), 2).alias(f"set_{side}"))
     return rows.where(F.size(f"set_{side}") > 0)
 
 
-def _prefix(df: DataFrame, side: str, threshold: float) -> DataFrame:
-    n = F.size(f"set_{side}")
-    return df.select(side, n.alias(f"n_{side}"), F.explode(F.slice(f"set_{side}", F.lit(1), (n - F.ceil(n * threshold) + 1).cast("int"))).alias("g"))
+def _prefix(df: DataFrame, side: str, threshold: float, common: DataFrame) -> DataFrame:
+    """The first n - ceil(t n) + 1 bigrams of each question in the order of rarity, of those that both sides have."""
+    n = F.col(f"n_{side}")
+    own = Window.partitionBy(side)
+    rows = df.select(side, F.size(f"set_{side}").alias(f"n_{side}"), F.explode(f"set_{side}").alias("g")).join(common, "g")
+    at = F.row_number().over(own.orderBy("df", "g")) + n - F.count("*").over(own)
+    return rows.withColumn("at", at).where(F.col("at") <= n - F.ceil(n * threshold) + 1).select(side, f"n_{side}", "g")
 
 
 def _similar(a: DataFrame, b: DataFrame, threshold: float, only: Column | None = None) -> DataFrame:
+    """Pairs of two sides with Jaccard >= threshold.
+
+    Bigrams that one side alone has come first in the order, for they meet
+    nothing and only their number counts; the others follow by rarity, so that
+    pairs meet on the rarest that they may share.
+    """
+    sides = a.select(F.explode("set_x").alias("g"), F.lit(1).alias("x"), F.lit(0).alias("y")).union(b.select(F.explode("set_y"), F.lit(0), F.lit(1)))
+    common = sides.groupBy("g").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).where("x > 0 AND y > 0")
+    if only is not None:  # both sides are the same rows: a bigram of one row meets nothing
+        common = common.where("x > 1")
+    common = cut(common.select("g", (F.col("x") + F.col("y")).alias("df")))
     near = F.least("n_x", "n_y") >= threshold * F.greatest("n_x", "n_y")
-    pairs = _prefix(a, "x", threshold).join(_prefix(b, "y", threshold), "g").where(near if only is None else near & only)
+    pairs = _prefix(a, "x", threshold, common).join(_prefix(b, "y", threshold, common), "g").where(near if only is None else near & only)
     pairs = pairs.select("x", "y").distinct().join(a, "x").join(b, "y")
     return pairs.withColumn("similarity", jaccard(F.col("set_x"), F.col("set_y"))).where(F.col("similarity") >= threshold)
 
@@ -226,7 +241,7 @@ def near_questions(new: DataFrame, accepted: DataFrame, threshold: float = 0.7)
     """New questions (id, question) whose word bigrams are close to an accepted one's (QAF-24).
 
     Candidates share a bigram among the first n - ceil(t n) + 1 of either, in
-    order of their hash, and have sizes within the threshold; questions without
+    order of rarity, and have sizes within the threshold; questions without
     bigrams match nothing.
     """
     pairs = _similar(_keyed(new, "x"), _keyed(accepted, "y"), threshold)
