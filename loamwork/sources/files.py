@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import email as mail_columns
+
 
 def markdown_folder(spark: SparkSession, path: str) -> DataFrame:
     """All .md and .mdx files below a folder: (file, text), file relative to it (SRC-01, 02)."""
@@ -36,56 +37,92 @@ def json_mail(spark: SparkSession, path: str, schema: T.StructType | str) -> Dat
     return rows.withColumn("thread", F.coalesce("thread_id", "id"))
 
 
-MAIL = T.StructType([T.StructField(c, T.StringType()) for c in ("file", "id", "thread_id", "date", "subject", "sender", "body", "reply_to")] + [T.StructField("idx", T.IntegerType())])
+_PEOPLE = "array<struct<name:string,email:string>>"
+_PARSED = f"file string, start bigint, n bigint, id string, refs array<string>, reply_to string, date string, subject string, sender string, `from` {_PEOPLE}, `to` {_PEOPLE}, cc {_PEOPLE}, text string"
+
+
+def _decoded(value: str | None) -> str:
+    """A header with its encoded words decoded, as it is if they cannot be (EML-01)."""
+    from email.header import decode_header, make_header
+
+    try:
+        return str(make_header(decode_header(value or ""))).strip()
+    except (ValueError, LookupError):
+        return (value or "").strip()
+
+
+def _addresses(value: str | None) -> list[dict[str, str]]:
+    """Names and addresses of a header, each pair once, in order (EML-01)."""
+    from email.utils import getaddresses
+
+    found = [(_decoded(name), address.strip()) for name, address in getaddresses([value or ""])]
+    return [{"name": n, "email": e} for n, e in dict.fromkeys(found) if n or e]
+
+
+def _message_ids(value: str | None) -> list[str]:
+    """What stands in angle brackets in a header; without any the whole of it (EML-01)."""
+    import re
+
+    text = _decoded(value)
+    return [i.strip() for i in re.findall(r"<([^>]+)>", text)] or ([text.strip("<> ")] if text.strip("<> ") else [])
+
+
+def _payload(message) -> str:
+    """The plain parts of a mail, else its HTML parts; attachments are left out."""
+    by: dict[str, list[str]] = {"text/plain": [], "text/html": []}
+    for part in message.walk():
+        kind = part.get_content_type()
+        if part.is_multipart() or kind not in by or (part.get("Content-Disposition") or "").lower().startswith("attachment"):
+            continue
+        data = part.get_payload(decode=True) or b""
+        try:
+            by[kind].append(data.decode(part.get_content_charset() or "utf-8", "replace"))
+        except LookupError:  # an unknown charset
+            by[kind].append(data.decode("utf-8", "replace"))
+    return "\n\n".join(by["text/plain"] or by["text/html"])
 
 
 def mbox_folder(spark: SparkSession, path: str) -> DataFrame:
-    """All mails of the .mbox files below a folder (SRC-03): headers decoded, dates as ISO text, threads named.
+    """All mails of the .mbox files below a folder (SRC-03, EML-01): file, idx, id, thread_id, date, subject, sender, from, to, cc, body, reply_to.
 
-    A mailbox is read by one task, as its format cannot be split.
+    Files are split where a line starts with "From ", so a mailbox of any size
+    is read by many tasks; idx is a mail's place in its file.  Python reads the
+    MIME structure; bodies are cleaned and threads named by the same columns as
+    elsewhere.  A date that cannot be read is empty, a missing id is the file
+    and place.
     """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import email
         import email.policy
-        import re
-        from email.header import decode_header, make_header
         from email.utils import parsedate_to_datetime
 
-        def header(value: str | None) -> str:
+        def iso(value: str | None) -> str:
             try:
-                return str(make_header(decode_header(value or ""))).strip()
-            except (ValueError, LookupError):
-                return (value or "").strip()
-
-        def body(message) -> str:
-            parts = [p for p in message.walk() if not p.is_multipart() and not (p.get("Content-Disposition") or "").lower().startswith("attachment")]
-            by = {k: [(p.get_payload(decode=True) or b"").decode(p.get_content_charset() or "utf-8", "replace") for p in parts if p.get_content_type() == k] for k in ("text/plain", "text/html")}
-            text = "\n\n".join(by["text/plain"] or by["text/html"])
-            text = re.sub(r"(?i)<br\s*/?>|</p\s*>", "\n", text)
-            return re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", text)).strip()
+                return parsedate_to_datetime(value).isoformat() if value else ""
+            except (TypeError, ValueError):
+                return ""
 
+        names = [c.split()[0].strip("`") for c in _PARSED.split(", ")]
         for batch in batches:
             rows = []
-            for file, content in zip(batch["path"], batch["content"], strict=True):
-                raw = re.split(rb"(?m)^From [^\n]*\n", content)
-                for idx, one in enumerate(x for x in raw if x.strip()):
-                    m = email.message_from_bytes(one, policy=email.policy.compat32)
-                    ids = re.findall(r"<([^>]+)>", m.get("Message-ID") or "") or [f"{file}#{idx}"]
-                    refs, reply = re.findall(r"<([^>]+)>", m.get("References") or ""), re.findall(r"<([^>]+)>", m.get("In-Reply-To") or "")
-                    subject = header(m.get("Subject"))
-                    bare = re.sub(r"^(re|fw|fwd)\s*:\s*", "", subject.lower()).strip()
-                    anchor = (refs or reply or [bare or ids[0]])[0]
-                    try:
-                        date = parsedate_to_datetime(m["Date"]).isoformat() if m["Date"] else ""
-                    except (TypeError, ValueError):
-                        date = ""
-                    thread = "thread_" + hashlib.sha1(anchor.encode()).hexdigest()[:16]
-                    rows.append((file, ids[0], thread, date, subject, header(m.get("From")), body(m), (reply or [None])[0], idx))
-            yield pd.DataFrame(rows, columns=MAIL.names)
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.mbox").load(path)
-    return files.select("path", "content").mapInPandas(parse, MAIL)
+            for file, start, n, content in zip(batch["file"], batch["start"], batch["n"], batch["content"], strict=True):
+                m = email.message_from_bytes(bytes(content).split(b"\n", 1)[-1], policy=email.policy.compat32)
+                head = lambda k: m.get(k)  # noqa: B023, E731
+                ids, reply = _message_ids(head("Message-ID")), _message_ids(head("In-Reply-To"))
+                rows.append((
+                    file, start, n, (ids or [None])[0], _message_ids(head("References")), (reply or [None])[0], iso(head("Date")), _decoded(head("Subject")), _decoded(head("From")),
+                    _addresses(head("From")), _addresses(head("To")), _addresses(head("Cc")), _payload(m),
+                ))
+            yield pd.DataFrame(rows, columns=names)
+
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.mbox").option("lineSep", "\nFrom ").text(path)
+    raw = raw.where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"), F.col("value").cast("binary").alias("content"))
+    mails = raw.mapInPandas(parse, _PARSED)
+    idx = (F.row_number().over(Window.partitionBy("file").orderBy("start", "n")) - 1).alias("idx")
+    mails = mails.select("*", idx).withColumn("id", F.coalesce("id", F.concat("file", F.lit("#"), F.col("idx").cast("string"))))
+    thread = mail_columns.thread_id(F.col("refs"), F.col("reply_to"), F.col("subject"), F.col("id"))
+    return mails.select("file", "idx", "id", thread.alias("thread_id"), "date", "subject", "sender", "from", "to", "cc", mail_columns.body_text(F.col("text")).alias("body"), "reply_to")
 
 
 def missing_outputs(inputs: DataFrame, outputs: DataFrame) -> DataFrame:

@@ -67,6 +67,19 @@ def test_mbox(spark, tmp_path):
     assert rows[0].sender == "Ann é <a@x.org>" and rows[0].thread_id.startswith("thread_") and rows[0].thread_id != rows[1].thread_id
 
 
+def test_mailboxes_are_split_between_mails(spark, tmp_path):
+    raw = b"".join(b"From a@b Mon\r\nMessage-ID: <%d@x>\r\nTo: =?utf-8?q?B=C3=B6?= <bo@x.org>, bo2@x.org, =?utf-8?q?B=C3=B6?= <bo@x.org>\r\nCc: \r\nContent-Type: text/plain; charset=latin-1\r\n\r\ncaf\xe9 %d\r\n>From here\r\n\r\n" % (i, i) for i in range(300))
+    (tmp_path / "big.mbox").write_bytes(raw + b"From z\nSubject: none\nContent-Type: text/plain; charset=odd\n\nend")
+    (tmp_path / "empty.mbox").write_bytes(b"")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = files.mbox_folder(spark, str(tmp_path)).orderBy("idx").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.id, r.idx) for r in rows[:-1]] == [(f"{i}@x", i) for i in range(300)] and rows[-1].id.endswith("big.mbox#300") and rows[-1].body == "end"
+    assert rows[7].body == "café 7 >From here" and [tuple(a) for a in rows[7].to] == [("Bö", "bo@x.org"), ("", "bo2@x.org")] and rows[7].cc == []
+
+
 def test_content_address_ignores_order(spark):
     df = spark.range(20).withColumn("t", F.col("id") % 3)
     assert files.content_address(df).first() == files.content_address(df.repartition(5).select("t", "id")).first()
