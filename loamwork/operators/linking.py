@@ -224,3 +224,21 @@ def linked_candidates(scores: DataFrame, pairs: DataFrame, edges: DataFrame, chu
     close = mean.select("pid", "id", F.least(F.lit(1.0), F.col("mean") / F.col("peak")).alias("close"))
     total = 0.3 * F.col("shared") + 0.3 * F.col("new") + 0.2 * F.coalesce("close", F.lit(0.0)) + 0.2 * F.col("apart")
     return rows.join(close, ["pid", "id"], "left").select("pid", "id", F.round(total, digits).alias("score"))
+
+
+def pattern_queries(rows: DataFrame, patterns: list[str], most: int = 2) -> DataFrame:
+    """The first hits of each pattern in a text as queries: id, query, pos (LNK-01).  rows: id, text."""
+
+    def hits(n: int, pattern: str) -> Column:
+        first = F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))), 1, most)
+        return F.transform(first, lambda x, i: F.struct(x.alias("query"), (i + n * most).alias("pos")))
+
+    found = [hits(n, p) for n, p in enumerate(patterns)]
+    return rows.select("id", F.explode(F.concat(*found)).alias("q")).select("id", "q.query", "q.pos").where("query <> ''")
+
+
+def pair_queries(rows: DataFrame, most: int = 4) -> DataFrame:
+    """Pairs of a chunk's first entities as queries: id, query, pos (LNK-01).  rows: id, names (in order)."""
+    first = rows.select("id", F.slice("names", 1, most).alias("n"))
+    pairs = F.flatten(F.transform("n", lambda a, i: F.transform(F.slice("n", i + 2, most), lambda b: F.concat_ws(" ", a, b))))
+    return first.select("id", F.posexplode(pairs).alias("pos", "query")).select("id", "query", "pos")

@@ -71,3 +71,23 @@ def pivot_rating(text: Column) -> Column:
     kind = F.get_json_object(body, "$.category")
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(score, F.lit(0.5))))
     return F.struct(clamped.alias("score"), F.when(kind.isin("pivot", "downstream", "trivial"), kind).otherwise("downstream").alias("category"))
+
+
+def rated_pivots(rows: DataFrame, prompt: str, ask: Callable[[str], str], tries: int = 5) -> DataFrame:
+    """Rows with a model's rating of their turn: ..., score, category (TRC-22).
+
+    A call is tried again as often as given; one that fails for good, or whose
+    answer cannot be read, rates 0.5 and downstream.
+    """
+
+    def patient(p: str) -> str:
+        for n in range(tries):
+            try:
+                return ask(p)
+            except Exception:
+                if n + 1 == tries:
+                    raise
+        raise AssertionError
+
+    asked = call(rows, prompt, patient).withColumn("rating", pivot_rating(F.coalesce("response", F.lit(""))))
+    return asked.select(*rows.columns, "rating.score", "rating.category")

@@ -338,3 +338,14 @@ def journey_counts(events: DataFrame) -> DataFrame:
 def output_line(fields: dict[str, Column]) -> Column:
     """A question as a JSON line; null fields have no member (QAF-32)."""
     return F.to_json(F.struct(*(c.alias(k) for k, c in fields.items())))
+
+
+def reference_overlap(references: DataFrame, hits: DataFrame, k: int = 5) -> DataFrame:
+    """Share of each question's references among its first k hits: qid, overlap (QAF-12).
+
+    references: qid, id; hits: qid, id, rank.  Repeats count once; questions
+    without references have no row.
+    """
+    refs = references.distinct()
+    found = refs.join(hits.where(F.col("rank") <= k).select("qid", "id", F.lit(1).alias("hit")).distinct(), ["qid", "id"], "left")
+    return found.groupBy("qid").agg((F.count("hit") / F.count("*")).alias("overlap"))

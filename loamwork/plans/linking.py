@@ -43,6 +43,14 @@ def lnk_01(spark, sf):
     return op.link_queries([d.select("id", F.col("file").alias("query"), F.lit(0).alias("pos")), found])
 
 
+@query("lnk_01b_built_queries", """WITH w AS (SELECT doc_id AS id, regexp_extract_all(text, '[A-Z][a-z]+') AS w, regexp_extract_all(text, '[0-9]+') AS d FROM documents), f AS (SELECT id, list_slice(w, 1, 4) AS n, list_slice(list_filter(w, lambda x, i: list_position(w, x) = i), 1, 2) AS a, list_slice(list_filter(d, lambda x, i: list_position(d, x) = i), 1, 2) AS b FROM w)
+SELECT id, n[i] || ' ' || n[j] AS query FROM f, (SELECT unnest([1, 1, 1, 2, 2, 3]) AS i, unnest([2, 3, 4, 3, 4, 4]) AS j) WHERE j <= len(n) UNION ALL SELECT id, unnest(list_concat(a, b)) FROM f""")
+def lnk_01b(spark, sf):
+    d = docs(spark, sf)
+    names = d.select("id", F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0)).alias("names"))
+    return op.pair_queries(names).select("id", "query").union(op.pattern_queries(d, ["[A-Z][a-z]+", "[0-9]+"]).select("id", "query"))
+
+
 @query("lnk_02_fallback_queries", r"""WITH r AS (SELECT doc_id, text, regexp_extract_all(text, '(\p{Lu}[\p{Ll}]+(?: \p{Lu}[\p{Ll}]+)*)', 1) AS w FROM documents)
 SELECT doc_id AS id, substr(trim(regexp_extract(text, '^([^.!?]*)', 1)), 1, 120) AS sentence, list_filter(w, lambda x: length(x) = list_max(list_transform(w, lambda y: length(y))))[1] AS phrase FROM r""")
 def lnk_02(spark, sf):

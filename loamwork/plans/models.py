@@ -78,6 +78,19 @@ def trc_22(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", op.pivot_rating(text).alias("r")).select("item_id", "r.*")
 
 
+def rater(prompt: str) -> str:
+    """A stand-in for a model: never answers some prompts."""
+    if prompt.endswith("1"):
+        raise TimeoutError
+    return f'{{"importance_score": {int(prompt[1:]) % 10 / 5}, "category": "pivot"}}'
+
+
+@query("trc_22b_rated_pivots", "SELECT item_id, CASE WHEN item_id % 10 = 1 THEN 0.5 ELSE least(1.0, (item_id % 10) / 5) END::DOUBLE AS score, CASE WHEN item_id % 10 = 1 THEN 'downstream' ELSE 'pivot' END AS category FROM benchmark")
+def trc_22b(spark, sf):
+    rows = table(spark, sf, "benchmark").select("item_id", F.concat(F.lit("p"), F.col("item_id").cast("string")).alias("prompt"))
+    return op.rated_pivots(rows, "prompt", rater).drop("prompt")
+
+
 @query("lnk_07_mode_rules", "SELECT doc_id, doc_id % 3 = 0 AS needs_date, doc_id % 3 = 1 AS same_file, CASE WHEN doc_id % 3 = 2 THEN greatest(0.5::DOUBLE * ((doc_id % 10) / 20), 0.05::DOUBLE) ELSE (doc_id % 10) / 20 END AS coherence FROM documents")
 def lnk_07(spark, sf):
     mode = F.expr("CASE doc_id % 3 WHEN 0 THEN 'temporal' WHEN 1 THEN 'sequential' ELSE 'inference' END")

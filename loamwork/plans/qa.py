@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import qa as op
+from ..operators.search import bm25
 from .registry import query, table
+from .search import BM25, corpus, items
 
 BASE = r"""qa AS (SELECT doc_id AS id, lang,
  CASE doc_id % 8 WHEN 0 THEN 'How do I use ' || substr(text, 1, 30) || '?' WHEN 1 THEN 'troubleshoot error ' || substr(text, 1, 20) WHEN 2 THEN lower(substr(text, 1, 25)) WHEN 3 THEN 'Where can I find the table of contents and more' WHEN 4 THEN 'Cannot create a question' WHEN 5 THEN 'short' WHEN 6 THEN 'widget and ' || substr(text, 1, 15) ELSE substr(text, 1, 80) END AS question,
@@ -78,6 +80,15 @@ def qaf_12(spark, sf):
     return rows(spark, sf).select("id", op.retrieval_verdict(F.col("j") / 10.0, F.col("id") % 2 == 0, (F.col("id") % 10) / 10.0).alias("verdict"))
 
 
+@query("qaf_12b_measured_overlap", f"WITH {BM25}, r AS (SELECT item_id AS qid, unnest([item_id, item_id + 40, item_id + 80]) AS id FROM benchmark UNION SELECT qid, id FROM bm WHERE rank = 2 OR (rank = 3 AND qid % 2 = 0)), o AS (SELECT r.qid, count(bm.id) / count(*) AS overlap FROM r LEFT JOIN bm ON bm.qid = r.qid AND bm.id = r.id AND rank <= 5 GROUP BY r.qid) SELECT qid, round(overlap, 6) AS overlap, CASE WHEN overlap >= 0.4 THEN 'too_easy' ELSE 'passed' END AS verdict FROM o")
+def qaf_12b(spark, sf):
+    hits = bm25(corpus(spark, sf), items(spark, sf))
+    made = items(spark, sf).select("qid", F.explode(F.array("qid", F.col("qid") + 40, F.col("qid") + 80)).alias("id"))
+    refs = made.union(hits.where("rank = 2 OR (rank = 3 AND qid % 2 = 0)").select("qid", "id"))
+    found = op.reference_overlap(refs, hits)
+    return found.select("qid", F.round("overlap", 6).alias("overlap"), op.retrieval_verdict(F.col("overlap"), F.lit(False), F.lit(0.0), limit=0.4).alias("verdict"))
+
+
 @query("qaf_14_grounding_verdict", f"WITH {BASE} SELECT id, CASE WHEN j > 3 THEN 'passed' WHEN refinements < 2 THEN 'needs_refinement' ELSE 'rejected' END AS verdict FROM qa")
 def qaf_14(spark, sf):
     return rows(spark, sf).select("id", op.grounding_verdict(F.col("j") > 3, F.col("refinements")).alias("verdict"))

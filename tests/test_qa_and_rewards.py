@@ -93,3 +93,19 @@ def test_greedy_diversity_matches_a_plain_fold(spark):
     texts = ["a b c d", "a b c e", "x y z", "a b c d", "q r s"]
     rows = spark.createDataFrame([(1, i, t, i + 1) for i, t in enumerate(texts)], "pid int, id int, text string, rank int")
     assert [r.id for r in linking.diverse(rows).orderBy("place").collect()] == [0, 2, 4]
+
+
+def test_rated_pivots_try_again(spark):
+    from loamwork.operators import models
+
+    seen = []
+
+    def ask(prompt):
+        seen.append(prompt)
+        if prompt == "never" or seen.count(prompt) < 3:
+            raise TimeoutError
+        return '{"importance_score": 0.75, "category": "trivial"}'
+
+    rows = spark.createDataFrame([(1, "late"), (2, "never"), (3, None)], "id int, prompt string").coalesce(1)
+    got = {r.id: (r.score, r.category) for r in models.rated_pivots(rows, "prompt", ask).collect()}
+    assert got == {1: (0.75, "trivial"), 2: (0.5, "downstream"), 3: (0.5, "downstream")}
