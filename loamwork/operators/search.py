@@ -132,15 +132,16 @@ def related(hits: DataFrame, chunks: DataFrame, primary: DataFrame, k: int) -> D
     """Chunks related to a primary chunk through several queries (SRH-09).
 
     hits (qid, query, id, score): hits of the queries made for primary chunk
-    qid; chunks (id, file, idx, content); primary (qid, pid).  The primary itself,
+    qid; chunks (id, file, idx and, if known, content); primary (qid, pid).  The primary itself,
     chunks of the same content and its direct neighbours in its file are left
     out; the rest is ordered by number of queries, other files first, best score.
     """
-    chunks = chunks.select("id", "file", "idx", F.xxhash64("content").alias("same"))
+    same_text = F.xxhash64("content") if "content" in chunks.columns else F.lit(None).cast("bigint")
+    chunks = chunks.select("id", "file", "idx", same_text.alias("same"))
     p = chunks.select(F.col("id").alias("pid"), F.col("file").alias("pfile"), F.col("idx").alias("pidx"), F.col("same").alias("psame"))
     rows = hits.join(primary, "qid").join(p, "pid").join(chunks, "id")
     same = F.col("file") == F.col("pfile")
-    rows = rows.where((F.col("id") != F.col("pid")) & (F.col("same") != F.col("psame")) & ~(same & (F.abs(F.col("idx") - F.col("pidx")) <= 1)))
+    rows = rows.where((F.col("id") != F.col("pid")) & ~F.coalesce(F.col("same") == F.col("psame"), F.lit(False)) & ~(same & (F.abs(F.col("idx") - F.col("pidx")) <= 1)))
     out = rows.groupBy("qid", "id").agg(F.count_distinct("query").alias("n_queries"), F.max("score").alias("max_score"), F.max(same.cast("int")).alias("same_file"))
     w = Window.partitionBy("qid").orderBy(F.desc("n_queries"), "same_file", F.desc("max_score"), "id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
