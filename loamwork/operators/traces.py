@@ -185,12 +185,18 @@ def split(rows: DataFrame, n_train: int, n_eval: int, key: list[str], seed: int
     return chosen.withColumn("place", F.row_number().over(Window.orderBy(*order))).withColumn("part", F.when(F.col("place") <= n_train, "train").otherwise("eval"))
 
 
+#: Greetings, requests for identity, and names of look-up tools.
+GREETING = r"(?i)^(hi|hello|hey|good\s+(morning|afternoon|evening)|welcome|greetings)\b"
+IDENTITY_REQUEST = r"(?i)\b(provide|share|give|tell)\b.*\b(name|email|order\s*(id|number)|zip|account)\b"
+LOOKUP_TOOL = r"^(get_|find_|lookup_|fetch_)"
+
+
 def is_trivial(content: Column, calls: Column, turn_index: Column) -> Column:
     """Greetings, short requests for identity, and single look-ups (TRC-20)."""
     none = F.size(calls) == 0
-    greeting = (turn_index == 0) & none & content.rlike(r"(?i)^(hi|hello|hey|good\s+(morning|afternoon|evening)|welcome|greetings)\b")
-    ask = none & content.rlike(r"(?i)\b(provide|share|give|tell)\b.*\b(name|email|order\s*(id|number)|zip|account)\b") & (F.length(content) < 200)
-    lookup = (F.size(calls) == 1) & F.coalesce(calls[0]["name"].rlike("^(get_|find_|lookup_|fetch_)"), F.lit(False)) & (F.length(content) < 50)
+    greeting = (turn_index == 0) & none & content.rlike(GREETING)
+    ask = none & content.rlike(IDENTITY_REQUEST) & (F.length(content) < 200)
+    lookup = (F.size(calls) == 1) & F.coalesce(calls[0]["name"].rlike(LOOKUP_TOOL), F.lit(False)) & (F.length(content) < 50)
     return greeting | ask | lookup
 
 

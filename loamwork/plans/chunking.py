@@ -20,7 +20,7 @@ def chunks(spark, sf):
     return d.select(F.col("doc_id").alias("id"), file.alias("file"), F.col("lang").alias("folder"), F.col("text").alias("content"), F.floor(F.col("doc_id") / 20).alias("idx"))
 
 
-@query("chk_01_mdx")
+@query("chk_01_mdx", r"""SELECT doc_id, md5(regexp_replace(repeat(chr(10), 3) || '```' || chr(10) || 'import Z from ' || chr(39) || 'q' || chr(39) || chr(10) || '```' || repeat(chr(10), 3) || text, '\n\n\n+', chr(10) || chr(10), 'g')) AS text FROM documents""")
 def chk_01(spark, sf):
     extra = F.concat(F.lit("import X from 'y'\n\n<!-- c -->\n```\nimport Z from 'q'\n```\n<Box />\n<Wrap> </Wrap>\n"), "text")
     return table(spark, sf, "documents").select("doc_id", F.md5(op.clean_mdx(extra)).alias("text"))
