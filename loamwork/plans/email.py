@@ -111,7 +111,9 @@ def eml_20(spark, sf):
     return bodies(spark, sf).select("id", F.md5(op.without_signature(F.col("body"))).alias("body"))
 
 
-@query("eml_21_clean_bodies")
+@query("eml_21_clean_bodies", f"""WITH {BODIES}, l AS (SELECT id, body, string_split(body, chr(10)) AS ls FROM bo), q AS (SELECT *, list_min(list_filter(list_transform(ls, lambda x, i: CASE WHEN regexp_matches(x, '{op.alternation(op.QUOTE_LINES)}') THEN i - 1 END), lambda y: y IS NOT NULL)) AS k FROM l),
+c AS (SELECT id, body, CASE WHEN k IS NULL THEN ls ELSE list_slice(ls, 1, k) END AS ls FROM q), m AS (SELECT *, list_min(list_filter(list_transform(ls, lambda x, i: CASE WHEN i - 1 >= len(ls) - 12 AND regexp_matches(x, '{op.alternation(op.SIGNATURE_LINES)}') THEN i - 1 END), lambda y: y IS NOT NULL)) AS k FROM c),
+o AS (SELECT id, body, trim(coalesce(array_to_string(CASE WHEN k IS NULL THEN ls ELSE list_slice(ls, 1, k) END, chr(10)), '')) AS kept FROM m) SELECT id, length(CASE WHEN length(trim(regexp_replace(lower(kept), '[^a-z0-9]+', ' ', 'g'))) < 8 THEN body ELSE kept END)::INT AS n_chars FROM o""")
 def eml_21(spark, sf):
     return bodies(spark, sf).select("id", F.length(op.clean_body(F.col("body"))).alias("n_chars"))
 
