@@ -33,3 +33,9 @@ def test_quality_gate_at_letters_with_accents(spark, tmp_path):
     documents = [(38, "éget? It is a text that is long enough to be an answer to what was asked, or so it seems.", "a"), (46, "widgetx or none", "a")]
     got, want = compared(spark, tmp_path, "qaf_11_quality_gate", documents)
     assert got == want and got[0] == (38, None)
+
+
+def test_filter_chain_at_letters_with_accents(spark, tmp_path):
+    documents = [(38, "éget? It is a text that is long enough to be an answer to what was asked, or so it seems.", "a"), (70, "écannot create. It is a text that is long enough to be an answer to what was asked, or so it seems.", "a")]
+    got, want = compared(spark, tmp_path, "qaf_20_filter_chain", documents)
+    assert got == want and got[0] == (38, None)
