@@ -16,7 +16,7 @@ BASE = r"""qa AS (SELECT doc_id AS id, lang,
 
 
 def rows(spark, sf):
-    q = F.expr("CASE doc_id % 8 WHEN 0 THEN concat('How do I use ', substr(text, 1, 30), '?') WHEN 1 THEN concat('troubleshoot error ', substr(text, 1, 20)) WHEN 2 THEN lower(substr(text, 1, 25)) WHEN 3 THEN 'Where can I find the table of contents and more' WHEN 4 THEN 'Cannot create a question' WHEN 5 THEN 'short' WHEN 6 THEN concat('widget and ', substr(text, 1, 15)) ELSE substr(text, 1, 80) END")
+    q = F.expr("CASE doc_id % 8 WHEN 0 THEN concat('How do I use ', substr(text, 1, 30), '?') WHEN 1 THEN concat('troubleshoot error ', substr(text, 1, 20)) WHEN 2 THEN lower(translate(substr(text, 1, 25), '\u03a3\u0130', '\u03c3i')) WHEN 3 THEN 'Where can I find the table of contents and more' WHEN 4 THEN 'Cannot create a question' WHEN 5 THEN 'short' WHEN 6 THEN concat('widget and ', substr(text, 1, 15)) ELSE substr(text, 1, 80) END")
     a = F.expr("CASE doc_id % 5 WHEN 0 THEN substr(text, 1, 200) WHEN 1 THEN 'Insufficient data' WHEN 2 THEN concat('Check out the docs. ', substr(text, 1, 60)) WHEN 3 THEN concat('Go to Settings > ', substr(text, 1, 90)) ELSE substr(text, 5, 40) END")
     i = F.col("doc_id")
     return table(spark, sf, "documents").select(

@@ -39,3 +39,10 @@ def test_filter_chain_at_letters_with_accents(spark, tmp_path):
     documents = [(38, "éget? It is a text that is long enough to be an answer to what was asked, or so it seems.", "a"), (70, "écannot create. It is a text that is long enough to be an answer to what was asked, or so it seems.", "a")]
     got, want = compared(spark, tmp_path, "qaf_20_filter_chain", documents)
     assert got == want and got[0] == (38, None)
+
+
+def test_filter_chain_at_wide_spaces_and_repeated_ids(spark, tmp_path):
+    long = "It is a text that is long enough to be an answer to what was asked, or so it seems."
+    documents = [(6, "\u00a0" * 30, "a"), (7, "\u3000 ab \u2003" + "\u00a0" * 9, "a"), (10, "\u0130" * 11 + "\u00a0\u03a3", "a"), (14, long, "a"), (14, "short", "a"), (None, long, "a"), (30, long[:40] + "\t" * 20, "a")]
+    got, want = compared(spark, tmp_path, "qaf_20_filter_chain", documents)
+    assert got == want and len(got) == 8 and (7, "guards:question_too_short") in got
