@@ -73,3 +73,18 @@ def test_sets_under_one_id_stay_apart(spark):
     a, b = "the quick brown fox jumps over the lazy dog and runs", "a wholly different line of words that stands alone here"
     df = spark.createDataFrame([(5, a), (5, b), (9, a + "s"), (9, b + "s")], "id int, content string")
     assert [(r.a, r.b) for r in op.near_duplicate_pairs(df, 0.8).collect()] == [(5, 9), (5, 9)]
+
+
+def test_clusters_of_near_texts_are_those_of_one_pass(spark):
+    texts = texts_of(250, 3)
+    texts += texts[:20]
+    near, leader = brute(texts, 0.8), {}
+    for b in range(len(texts)):
+        leader[b] = min((a for a in range(b) if leader[a] == a and (a, b) in near), default=b)
+    seen, want = {}, set()
+    for i in range(len(texts)):
+        seen[leader[i]] = seen.get(leader[i], 0) + 1
+        want.add((i, leader[i], seen[leader[i]] <= 2))
+    found = op.capped_clusters(spark.createDataFrame(list(enumerate(texts)), "id int, content string"), 2, 0.8)
+    assert {tuple(r) for r in found.collect()} == want and len({x[1] for x in want}) < len(texts) - 20
+    assert "grams" not in found._jdf.queryExecution().toString()  # whole sets are not shuffled
